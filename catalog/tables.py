@@ -105,3 +105,225 @@ scored AS (
          WHEN d.degree > 5 THEN 'high_value' ELSE 'continue_expansion' END AS halt_reason
   FROM nodes n JOIN degrees d USING (graph_id, node_id) JOIN sizes s USING (graph_id))
 """
+
+
+def vector_nodes(spark: SparkSession, sf_dir: str, by_label: bool = False) -> DataFrame:
+    """The embeddings as nodes of one graph, or of one graph per label."""
+    graph_id = F.col("label").cast("string") if by_label else F.lit("all")
+    return table(spark, sf_dir, "embeddings").select(
+        graph_id.alias("graph_id"),
+        F.concat(F.lit("V"), "vec_id").alias("node_id"),
+        F.col("vec_id").alias("ord"),
+        "embedding",
+    )
+
+
+def vector_sql(by_label: bool, threshold: float) -> str:
+    """``v`` nodes and ``pairs`` with a cosine of at least ``threshold``."""
+    graph_id = "CAST(label AS VARCHAR)" if by_label else "'all'"
+    return f"""
+v AS (SELECT {graph_id} AS graph_id, 'V' || vec_id AS node_id, vec_id AS ord, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (
+  SELECT a.graph_id, a.node_id AS id1, b.node_id AS id2, list_cosine_similarity(a.e, b.e) AS sim
+  FROM v a JOIN v b ON a.graph_id = b.graph_id AND a.ord < b.ord
+  WHERE list_cosine_similarity(a.e, b.e) >= {threshold})"""
+
+
+COMPONENTS = """
+links AS (SELECT graph_id, id1 AS a, id2 AS b FROM pairs UNION SELECT graph_id, id2, id1 FROM pairs),
+reach AS (
+  SELECT graph_id, node_id, node_id AS other FROM v
+  UNION
+  SELECT r.graph_id, r.node_id, l.b FROM reach r JOIN links l ON l.graph_id = r.graph_id AND l.a = r.other),
+roots AS (SELECT graph_id, node_id, min(other) AS root FROM reach GROUP BY graph_id, node_id)"""
+
+
+def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[Graphs, Graphs]:
+    """Per nation: customers and their orders (evidence), segments and customers (goal).
+
+    The goal side also names orders it does not hold, so some of its edges dangle.
+    """
+    customer = table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("c_custkey"), "embedding")
+    graph_id = F.col("c_nationkey").cast("string").alias("graph_id")
+    people = customer.join(vectors, "c_custkey", "left").select(
+        graph_id,
+        F.concat(F.lit("C"), "c_custkey").alias("node_id"),
+        (F.col("c_custkey") * 2).alias("ord"),
+        F.col("c_name").alias("label"),
+        F.lit("customer").alias("node_type"),
+        "embedding",
+    )
+    bought = orders.select(
+        graph_id,
+        F.concat(F.lit("O"), "o_orderkey").alias("node_id"),
+        (F.col("o_orderkey") * 2 + 1).alias("ord"),
+        F.concat(F.lit("Order "), "o_orderkey").alias("label"),
+        F.lit("order").alias("node_type"),
+        F.lit(None).cast("array<float>").alias("embedding"),
+    )
+    placed = orders.select(
+        graph_id,
+        F.concat(F.lit("p"), "o_orderkey").alias("edge_id"),
+        F.col("o_orderkey").alias("ord"),
+        F.concat(F.lit("C"), "c_custkey").alias("source"),
+        F.concat(F.lit("O"), "o_orderkey").alias("target"),
+        F.lit("placed").alias("relation"),
+    )
+    segments = customer.select(
+        graph_id,
+        F.concat(F.lit("M"), "c_mktsegment").alias("node_id"),
+        F.ascii("c_mktsegment").cast("bigint").alias("ord"),
+        F.col("c_mktsegment").alias("label"),
+        F.lit("segment").alias("node_type"),
+        F.lit(None).cast("array<float>").alias("embedding"),
+    ).distinct()
+    targets = customer.select(
+        graph_id,
+        F.concat(F.lit("t"), "c_custkey").alias("edge_id"),
+        F.col("c_custkey").alias("ord"),
+        F.concat(F.lit("M"), "c_mktsegment").alias("source"),
+        F.concat(F.lit("C"), "c_custkey").alias("target"),
+        F.lit("targets").alias("relation"),
+    )
+    covers = orders.select(
+        graph_id,
+        F.concat(F.lit("c"), "o_orderkey").alias("edge_id"),
+        F.col("o_orderkey").alias("ord"),
+        F.concat(F.lit("M"), "c_mktsegment").alias("source"),
+        F.concat(F.lit("O"), "o_orderkey").alias("target"),
+        F.lit("covers").alias("relation"),
+    )
+    ids = customer.select(graph_id).distinct()
+    evidence = ids.withColumns({"source": F.lit("bottom_up"), "depth": F.lit(0)})
+    goal = ids.withColumns({"source": F.lit("gpt_expander"), "depth": F.lit(1)})
+    return (
+        Graphs.of(people.unionByName(bought), placed, evidence),
+        Graphs.of(segments.unionByName(people), targets.unionByName(covers), goal),
+    )
+
+
+ORDER = """
+o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey),
+people AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, 'C' || c_custkey AS node_id, c_custkey * 2 AS ord, c_name AS label,
+         'customer' AS node_type, CAST(embedding AS DOUBLE[]) AS e
+  FROM customer LEFT JOIN embeddings ON vec_id = c_custkey),
+b_nodes AS (
+  SELECT * FROM people
+  UNION ALL
+  SELECT CAST(c_nationkey AS VARCHAR), 'O' || o_orderkey, o_orderkey * 2 + 1, 'Order ' || o_orderkey, 'order', NULL FROM o),
+b_edges AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, 'C' || c_custkey AS source, 'O' || o_orderkey AS target, 'placed' AS relation FROM o),
+t_nodes AS (
+  SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS graph_id, 'M' || c_mktsegment AS node_id, ascii(c_mktsegment)::BIGINT AS ord,
+         c_mktsegment AS label, 'segment' AS node_type, CAST(NULL AS DOUBLE[]) AS e FROM customer
+  UNION ALL SELECT * FROM people),
+t_edges AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, 'M' || c_mktsegment AS source, 'C' || c_custkey AS target, 'targets' AS relation FROM customer
+  UNION ALL
+  SELECT CAST(c_nationkey AS VARCHAR), 'M' || c_mktsegment, 'O' || o_orderkey, 'covers' FROM o),
+f_nodes AS (
+  SELECT graph_id, 'fused_B_' || node_id AS node_id, label, node_type, 'bottom_up' AS origin, ord, e FROM b_nodes
+  UNION ALL
+  SELECT graph_id, 'fused_T_' || node_id, label, node_type, 'top_down', ord + 1099511627776, e FROM t_nodes),
+f_edges AS (
+  SELECT graph_id, 'fused_B_' || source AS source, 'fused_B_' || target AS target, relation, 'bottom_up' AS origin FROM b_edges
+  WHERE (graph_id, source) IN (SELECT graph_id, node_id FROM b_nodes) AND (graph_id, target) IN (SELECT graph_id, node_id FROM b_nodes)
+  UNION ALL
+  SELECT graph_id, 'fused_T_' || source, 'fused_T_' || target, relation, 'top_down' FROM t_edges
+  WHERE (graph_id, source) IN (SELECT graph_id, node_id FROM t_nodes) AND (graph_id, target) IN (SELECT graph_id, node_id FROM t_nodes))"""
+
+FUSED = f"""{ORDER},
+v AS (SELECT graph_id, node_id, ord, e FROM f_nodes WHERE e IS NOT NULL),
+pairs AS (
+  SELECT a.graph_id, a.node_id AS id1, b.node_id AS id2
+  FROM v a JOIN v b ON a.graph_id = b.graph_id AND a.ord < b.ord
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.3),
+{COMPONENTS},
+moved AS (SELECT graph_id, node_id, root FROM roots WHERE root <> node_id)"""
+
+
+def order_increment(spark: SparkSession, sf_dir: str, statuses: list[str]) -> tuple[Graphs, list[Graphs]]:
+    """Customers with their finished orders, and one increment per further order status.
+
+    An increment holds new orders, known customers and edges to the next order key, some of
+    which exist nowhere; it grows from the first customer of the nation.
+    """
+    evidence, _ = order_graphs(spark, sf_dir)
+    customer = table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    graph_id = F.col("c_nationkey").cast("string").alias("graph_id")
+    done = orders.where("o_orderstatus = 'F'").select(F.concat(F.lit("O"), "o_orderkey").alias("node_id"))
+    nodes = evidence.nodes
+    kept = nodes.where("node_type = 'customer'").unionByName(nodes.join(done, "node_id", "left_semi").select(*nodes.columns))
+    edges = evidence.edges.join(done.withColumnRenamed("node_id", "target"), "target", "left_semi")
+    current = Graphs(evidence.graphs, kept, edges.select(*evidence.edges.columns))
+    first = customer.groupBy(graph_id).agg(F.concat(F.lit("C"), F.min("c_custkey")).alias("parent"))
+    header = first.select(
+        "graph_id", F.create_map(F.lit("parent_node_id"), F.col("parent")).alias("meta"), F.lit("gpt_expander").alias("source")
+    )
+    steps = []
+    for status in statuses:
+        part = orders.where(F.col("o_orderstatus") == status)
+        new = part.select(
+            graph_id,
+            F.concat(F.lit("O"), "o_orderkey").alias("node_id"),
+            (F.col("o_orderkey") * 2 + 1).alias("ord"),
+            F.concat(F.lit("Order "), "o_orderkey").alias("label"),
+        )
+        known = part.select(
+            graph_id,
+            F.concat(F.lit("C"), "c_custkey").alias("node_id"),
+            (F.col("c_custkey") * 2).alias("ord"),
+            F.lit("known").alias("label"),
+        ).distinct()
+        placed = part.select(
+            graph_id,
+            F.concat(F.lit("p"), "o_orderkey").alias("edge_id"),
+            F.col("o_orderkey").alias("ord"),
+            F.concat(F.lit("C"), "c_custkey").alias("source"),
+            F.concat(F.lit("O"), "o_orderkey").alias("target"),
+            F.lit("placed").alias("relation"),
+        )
+        follows = part.select(
+            graph_id,
+            F.concat(F.lit("n"), "o_orderkey").alias("edge_id"),
+            F.col("o_orderkey").alias("ord"),
+            F.concat(F.lit("O"), "o_orderkey").alias("source"),
+            F.concat(F.lit("O"), F.col("o_orderkey") + 1).alias("target"),
+            F.lit("next").alias("relation"),
+        )
+        steps.append(Graphs.of(new.unionByName(known), placed.unionByName(follows), header))
+    return current, steps
+
+
+def increment_sql(rounds: list[str]) -> str:
+    """``cur0`` … ``curN`` node tables and ``edge0`` … ``edgeN`` after each merged increment."""
+    parts = [
+        """
+o AS (SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, * FROM orders JOIN customer ON o_custkey = c_custkey),
+cur0 AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, 'C' || c_custkey AS node_id, c_name AS label FROM customer
+  UNION ALL SELECT graph_id, 'O' || o_orderkey, 'Order ' || o_orderkey FROM o WHERE o_orderstatus = 'F'),
+edge0 AS (SELECT graph_id, 'C' || c_custkey AS source, 'O' || o_orderkey AS target, 'placed' AS relation FROM o WHERE o_orderstatus = 'F')"""
+    ]
+    for k, status in enumerate(rounds, start=1):
+        parts.append(f"""
+inc{k} AS (
+  SELECT graph_id, 'O' || o_orderkey AS node_id, 'Order ' || o_orderkey AS label FROM o WHERE o_orderstatus = '{status}'
+  UNION SELECT graph_id, 'C' || c_custkey, 'known' FROM o WHERE o_orderstatus = '{status}'),
+raw{k} AS (
+  SELECT graph_id, 'C' || c_custkey AS source, 'O' || o_orderkey AS target, 'placed' AS relation FROM o WHERE o_orderstatus = '{status}'
+  UNION ALL
+  SELECT graph_id, 'O' || o_orderkey, 'O' || (o_orderkey + 1), 'next' FROM o WHERE o_orderstatus = '{status}'),
+add{k} AS (SELECT * FROM inc{k} WHERE (graph_id, node_id) NOT IN (SELECT graph_id, node_id FROM cur{k - 1})),
+cur{k} AS (SELECT * FROM cur{k - 1} UNION ALL SELECT * FROM add{k}),
+valid{k} AS (
+  SELECT * FROM raw{k} WHERE (graph_id, source) IN (SELECT graph_id, node_id FROM cur{k})
+    AND (graph_id, target) IN (SELECT graph_id, node_id FROM cur{k})),
+edge{k} AS (SELECT * FROM edge{k - 1} UNION ALL SELECT * FROM valid{k})""")
+    parts.append("""
+parent AS (SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, 'C' || min(c_custkey) AS node_id FROM customer GROUP BY c_nationkey)""")
+    return ",".join(parts)

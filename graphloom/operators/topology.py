@@ -151,9 +151,7 @@ def prefixed(g: Graphs, side: str) -> Graphs:
 def union_graphs(b: Graphs, t: Graphs) -> Graphs:
     """Bag union of two prefixed sides; depth is the larger one and the source is ``fused``.
 
-    Nodes of the second side come after those of the first in ``ord``: the first side takes
-    even numbers and the second odd ones only inside equal positions, so each side keeps its
-    own order and no scan for the maximum is needed.
+    The second side comes after the first in ``ord``.
     """
     left, right = prefixed(b, "B"), prefixed(t, "T")
     graphs = (
@@ -168,7 +166,8 @@ def union_graphs(b: Graphs, t: Graphs) -> Graphs:
         )
     )
     goal = F.coalesce("goal_t", "goal_b")
-    base = F.create_map(F.lit("source_graphs"), F.lit("G_B,G_T"), F.lit("fusion_method"), F.lit("semantic_dedup"))
+    origins = F.to_json(F.struct(F.lit("G_B").alias("G_B"), F.lit("G_T").alias("G_T")))
+    base = F.create_map(F.lit("source_graphs"), origins, F.lit("fusion_method"), F.lit("semantic_dedup"))
     graphs = graphs.select(
         "graph_id",
         "source",
@@ -176,16 +175,18 @@ def union_graphs(b: Graphs, t: Graphs) -> Graphs:
         F.when(goal.isNull(), base).otherwise(F.map_concat(base, F.create_map(F.lit("goal"), goal))).alias("meta"),
     )
 
-    def interleave(df: DataFrame, odd: int) -> DataFrame:
-        return df.withColumn("ord", F.col("ord") * 2 + odd)
-
     return Graphs(
         graphs,
-        interleave(left.nodes, 0).unionByName(interleave(right.nodes, 1)),
-        interleave(left.edges, 0).unionByName(interleave(right.edges, 1)),
+        left.nodes.unionByName(after(right.nodes, 1)),
+        left.edges.unionByName(after(right.edges, 1)),
     )
 
 
+def after(df: DataFrame, steps: int) -> DataFrame:
+    """Move rows behind those of earlier additions: one step leaves room for 2**40 positions."""
+    return df.withColumn("ord", F.col("ord") + F.lit(steps) * F.lit(1 << 40))
+
+
 def ordinals(df: DataFrame, keys: list[str], chunk: list[Column], order: list[Column], out: str, base: int = 0) -> DataFrame:
     """Number the rows of each key by ``order`` without gathering a key in one task.
 
