@@ -327,3 +327,82 @@ edge{k} AS (SELECT * FROM edge{k - 1} UNION ALL SELECT * FROM valid{k})""")
     parts.append("""
 parent AS (SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, 'C' || min(c_custkey) AS node_id FROM customer GROUP BY c_nationkey)""")
     return ",".join(parts)
+
+
+def decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linearised triples made of the first words of each sentence, one text per sentence.
+
+    Repeats in another case and spacing are part of it.
+    """
+    from graphloom.functions.text import split_sentences
+
+    sentences = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("graph_id"), F.posexplode(split_sentences("text")).alias("window_idx", "s")
+    )
+    words = F.split(F.translate("s", "\n", " "), " +")
+    w = [F.coalesce(F.get(words, F.lit(i)), F.lit("")) for i in range(5)]
+    text = F.concat(
+        F.lit("<s><triplet> "), w[0], F.lit("  "), w[1], F.lit(" <subj>  "), w[2], F.lit(" <obj> "), w[3],
+        F.lit(" <subj> "), F.lower(w[0]), F.lit("<obj>"), w[4],
+        F.lit("<triplet> "), F.lower(w[0]), F.lit(" "), w[1], F.lit(" <subj> "), F.lower(w[2]), F.lit(" <obj> "), w[3], F.lit("</s>"),
+    )
+    return sentences.select("graph_id", "window_idx", F.col("window_idx").alias("chunk_id"), text.alias("text"))
+
+
+SENTENCES = r"""
+sent AS (
+  SELECT doc_id, text, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS s FROM (
+    SELECT doc_id, text, list_filter(list_transform(
+      string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda x: trim(x, E' \n')), lambda x: x <> '') AS parts FROM documents))"""
+
+DECODED = rf"""{SENTENCES},
+words AS (SELECT CAST(doc_id AS VARCHAR) AS graph_id, CAST(i AS INTEGER) AS window_idx, regexp_split_to_array(translate(s, chr(10), ' '), ' +') AS w FROM sent),
+decoded AS (
+  SELECT graph_id, window_idx, '<triplet> ' || coalesce(w[1], '') || '  ' || coalesce(w[2], '') || ' <subj>  ' || coalesce(w[3], '') || ' <obj> '
+    || coalesce(w[4], '') || ' <subj> ' || lower(coalesce(w[1], '')) || '<obj>' || coalesce(w[5], '')
+    || '<triplet> ' || lower(coalesce(w[1], '')) || ' ' || coalesce(w[2], '') || ' <subj> ' || lower(coalesce(w[3], '')) || ' <obj> ' || coalesce(w[4], '') AS d FROM words),
+contents AS (
+  SELECT graph_id, window_idx, generate_subscripts(c, 1) AS ci, unnest(c) AS content FROM (
+    SELECT graph_id, window_idx, string_split(d, '<triplet>')[2:] AS c FROM decoded)),
+pieces AS (
+  SELECT graph_id, window_idx, ci, trim(regexp_replace(string_split(content, '<subj>')[1], '\s+', ' ', 'g')) AS head,
+         generate_subscripts(string_split(content, '<subj>')[2:], 1) AS pi, unnest(string_split(content, '<subj>')[2:]) AS p FROM contents),
+parsed AS (
+  SELECT graph_id, window_idx, ci, pi, head, trim(regexp_replace(split_part(p, '<obj>', 2), '\s+', ' ', 'g')) AS relation,
+         trim(regexp_replace(split_part(p, '<obj>', 1), '\s+', ' ', 'g')) AS tail FROM pieces),
+triples AS (
+  SELECT graph_id, window_idx, CAST(row_number() OVER (PARTITION BY graph_id, window_idx ORDER BY ci, pi) - 1 AS INTEGER) AS pos, head, relation, tail
+  FROM parsed WHERE head <> '' AND relation <> '' AND tail <> ''),
+merged AS (
+  SELECT graph_id, first.head AS head, first.relation AS relation, first.tail AS tail, first.window_idx AS window_idx, first.pos AS pos, mentions FROM (
+    SELECT graph_id, arg_min({{'head': head, 'relation': relation, 'tail': tail, 'window_idx': window_idx, 'pos': pos}}, (window_idx, pos)) AS first, count(*) AS mentions
+    FROM triples GROUP BY graph_id, lower(head), lower(relation), lower(tail))),
+labels_seen AS (
+  SELECT graph_id, head AS label, window_idx, pos, 0 AS side FROM merged UNION ALL SELECT graph_id, tail, window_idx, pos, 1 FROM merged),
+entities AS (
+  SELECT graph_id, label, row_number() OVER (PARTITION BY graph_id ORDER BY w, p, s) - 1 AS k FROM (
+    SELECT graph_id, label, f.window_idx AS w, f.pos AS p, f.side AS s FROM (
+      SELECT graph_id, label, min({{'window_idx': window_idx, 'pos': pos, 'side': side}}) AS f FROM labels_seen GROUP BY graph_id, label)))"""
+
+
+def relation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON object per conversation: a relation record per turn, under varying names."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("graph_id"),
+        "turn",
+        F.struct(
+            F.when(F.col("turn") % 2 == 0, F.col("role")).alias("head"),
+            F.when(F.col("turn") % 2 == 1, F.struct(F.lit("").alias("name"), F.col("role").alias("label"))).alias("startEntity"),
+            F.concat(F.lit(" says  in "), F.col("turn")).alias("predicate"),
+            F.struct(F.substring_index(F.translate("text", "\n", " "), " ", 1).alias("name")).alias("object"),
+        ).alias("r"),
+    )
+    # A conversation is bounded by its turns; each becomes one document.
+    packed = turns.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("turn", "r"))).alias("rs"))
+    rels = F.transform("rs", lambda x: x["r"])
+    even = F.col("graph_id").cast("bigint") % 2 == 0
+    return packed.select(
+        "graph_id",
+        F.to_json(F.struct(F.when(even, rels).alias("relations"), F.when(~even, rels).alias("edges"))).alias("json"),
+    )

@@ -85,10 +85,10 @@ def induced_subgraph(g: Graphs, cond: Column, suffix: str = "") -> Graphs:
     return out.map_tables(lambda df: df.withColumn("graph_id", F.concat("graph_id", F.lit(suffix))))
 
 
-def score_filter(g: Graphs, threshold: float = 0.5) -> Graphs:
+def score_filter(g: Graphs, threshold: float = 0.5, suffix: str = "_filtered") -> Graphs:
     """Induced subgraph of the nodes whose score reaches ``threshold``; no score keeps a node."""
     score = F.coalesce(F.try_element_at("attrs", F.lit("score")).try_cast("double"), F.lit(1.0))
-    out = induced_subgraph(g, score >= threshold, suffix="_filtered")
+    out = induced_subgraph(g, score >= threshold, suffix)
     fresh = out.graphs.select(
         "graph_id", F.lit("unknown").alias("source"), F.lit(0).alias("depth"), F.create_map().cast("map<string,string>").alias("meta")
     )
