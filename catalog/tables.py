@@ -406,3 +406,158 @@ def relation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "graph_id",
         F.to_json(F.struct(F.when(even, rels).alias("relations"), F.when(~even, rels).alias("edges"))).alias("json"),
     )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generator answers made of conversation turns: plain JSON, JSON in prose, cut-off JSON."""
+    turns = table(spark, sf_dir, "conversations")
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    w = [F.coalesce(F.get(words, F.lit(i)), F.lit("w")) for i in range(3)]
+    key = F.concat_ws("-", "conv_id", "turn")
+    body = F.concat(
+        F.lit('{"parent_node_id":"P'), "conv_id", F.lit('","reason":"'), w[0],
+        F.lit('","nodes":[{"id":"a'), "turn", F.lit('","label":"'), w[0], F.lit('","type":"concept","description":"'), w[1],
+        F.lit('"},{"name":"'), w[2], F.lit('"},{"id":"c"}],"edges":[{"source":"P'), "conv_id", F.lit('","target":"a'), "turn",
+        F.lit('","relation":"contains"},{"source":"a'), "turn",
+        F.lit('","target":"node_1"},{"source":"x","target":"y","relation":"none"}]}'),
+    )
+    kind = F.col("turn") % 3
+    text = (
+        F.when(kind == 0, body)
+        .when(kind == 1, F.concat(F.lit("Sure, here it is:\n"), body, F.lit("\nDone.")))
+        .otherwise(F.substring(body, 1, 60))
+    )
+    return turns.select(key.alias("graph_id"), text.alias("response"))
+
+
+RESPONSES = r"""
+w AS (SELECT conv_id, turn, conv_id || '-' || turn AS graph_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations),
+body AS (
+  SELECT graph_id, turn, '{"parent_node_id":"P' || conv_id || '","reason":"' || coalesce(w[1], 'w') || '","nodes":[{"id":"a' || turn || '","label":"'
+    || coalesce(w[1], 'w') || '","type":"concept","description":"' || coalesce(w[2], 'w') || '"},{"name":"' || coalesce(w[3], 'w')
+    || '"},{"id":"c"}],"edges":[{"source":"P' || conv_id || '","target":"a' || turn || '","relation":"contains"},{"source":"a' || turn
+    || '","target":"node_1"},{"source":"x","target":"y","relation":"none"}]}' AS b FROM w),
+responses AS (
+  SELECT graph_id, CASE turn % 3 WHEN 0 THEN b WHEN 1 THEN 'Sure, here it is:' || chr(10) || b || chr(10) || 'Done.' ELSE left(b, 60) END AS response FROM body),
+salvaged AS (
+  SELECT graph_id, CASE WHEN json_valid(response) THEN response WHEN json_valid(regexp_extract(response, '(?s)\{.*\}')) THEN regexp_extract(response, '(?s)\{.*\}') END AS j
+  FROM responses),
+r_nodes AS (
+  SELECT graph_id, i - 1 AS ord, coalesce(n->>'id', 'node_' || (i - 1)) AS node_id, coalesce(n->>'label', n->>'name', '节点_' || (i - 1)) AS label,
+         coalesce(n->>'type', 'system') AS node_type, coalesce(n->>'description', '') AS description
+  FROM (SELECT graph_id, unnest(json_extract(j, '$.nodes[*]')) AS n, generate_subscripts(json_extract(j, '$.nodes[*]'), 1) AS i FROM salvaged WHERE j IS NOT NULL)),
+r_edges AS (
+  SELECT graph_id, e->>'source' AS source, e->>'target' AS target, coalesce(e->>'relation', 'related_to') AS relation
+  FROM (SELECT graph_id, unnest(json_extract(j, '$.edges[*]')) AS e FROM salvaged WHERE j IS NOT NULL))"""
+
+
+def fever_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as claims with label and page pointers; web pages as evidence pages."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    pages = table(spark, sf_dir, "pages")
+    rows = docs.join(pages, F.col("doc_id") == F.col("page_id"), "left").select(
+        F.col("doc_id").alias("idx"),
+        F.col("text").alias("claim"),
+        F.when(F.col("quality") == 1, "SUPPORTS").when(F.col("quality") == 0, "REFUTES").alias("label"),
+        F.concat(F.lit(" "), "url").alias("evidence_wiki_url"),
+        (F.col("doc_id") % 12 - 1).cast("int").alias("evidence_sentence_id"),
+        F.col("doc_id").cast("int").alias("evidence_id"),
+    )
+    return rows, pages.select(F.col("url").alias("title"), F.col("html").alias("text"))
+
+
+FEVER = r"""
+pages_ AS (
+  SELECT trim(url) AS title, max(left(trim(regexp_replace(html, '\n{3,}', E'\n\n', 'g'), E' \n\t\r'), 200000)) AS page FROM pages GROUP BY ALL),
+fever AS (
+  SELECT d.doc_id AS idx, d.text AS claim, CASE quality WHEN 1 THEN 'SUPPORTS' WHEN 0 THEN 'REFUTES' END AS label, ' ' || url AS wiki,
+         CAST(d.doc_id % 12 - 1 AS INTEGER) AS sid
+  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN pages p ON p.page_id = d.doc_id),
+looked AS (
+  SELECT f.*, page, list_filter(list_transform(string_split(regexp_replace(page, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+    lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS s FROM fever f LEFT JOIN pages_ ON title = trim(wiki)),
+fever_samples AS (
+  SELECT 'fever' AS dataset_id, 'train' AS split, idx AS "index", claim AS query, label, wiki, sid,
+    CASE WHEN page IS NOT NULL THEN CASE WHEN sid >= 0 AND sid < len(s) THEN s[sid + 1] WHEN length(page) > 400 THEN left(page, 400) || '...' ELSE page END END AS sentence, page
+  FROM looked),
+fever_out AS (
+  SELECT dataset_id, split, "index", query, label, coalesce(nullif(sentence, ''), nullif(page, ''), query) AS context,
+    CASE WHEN sentence IS NULL THEN to_json({'evidence_wiki_url': wiki, 'evidence_sentence_id': sid, 'evidence_id': "index", 'evidence_annotation_id': NULL})
+    ELSE to_json({'evidence_wiki_url': wiki, 'evidence_sentence_id': sid, 'evidence_id': "index", 'evidence_annotation_id': NULL, 'evidence_text': sentence}) END::VARCHAR AS evidence
+  FROM fever_samples)"""
+
+
+def docred_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tokenised relation samples; title, abstract and labels are missing in some."""
+    from graphloom.functions.text import split_sentences
+
+    words = F.transform(split_sentences("text"), lambda s: F.split(s, " "))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("idx"),
+        F.when(F.col("lang") == "en", F.concat(F.lit("T"), "doc_id")).alias("title"),
+        F.when(F.col("lang") == "fr", F.col("text")).alias("abstract"),
+        words.alias("sents"),
+        F.transform(words, lambda w: F.array(F.struct(F.get(w, F.lit(0)).alias("name")))).alias("vertexSet"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.col("source").alias("r"), F.lit(0).alias("h"), F.lit(0).alias("t"))))
+        .otherwise(F.array().cast("array<struct<r:string,h:int,t:int>>"))
+        .alias("labels"),
+    )
+
+
+DOCRED = rf"""
+parts AS (
+  SELECT doc_id, text, lang, source, list_filter(list_transform(
+      string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda x: trim(x, E' \n')), lambda x: x <> '') AS p FROM documents),
+docred AS (
+  SELECT doc_id AS idx, lang, text, source, p, list_transform(p, lambda s: string_split(s, ' ')) AS sents,
+    list_transform(p, lambda s: [{{'name': string_split(s, ' ')[1]}}]) AS "vertexSet",
+    CASE WHEN doc_id % 2 = 0 THEN [{{'r': source, 'h': 0, 't': 0}}] ELSE [] END AS labels,
+    CASE WHEN lang = 'en' THEN 'T' || doc_id WHEN lang = 'fr' THEN left(text, 200)
+         WHEN doc_id % 2 = 0 THEN '提取文本中的' || source || '关系' ELSE '从文本中提取实体和关系' END AS query FROM parts)"""
+
+
+def scifact_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as claims that cite documents; the corpus has ids that are no numbers and old copies."""
+    from graphloom.functions.text import split_sentences
+
+    claims = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("idx"),
+        F.col("text").alias("claim"),
+        F.col("role").alias("evidence_label"),
+        F.when(F.col("turn") % 2 == 0, F.col("conv_id")).cast("int").alias("evidence_doc_id"),
+        F.when(F.col("turn") % 4 == 1, F.array(F.col("turn"), F.col("turn") + 50).cast("array<int>"))
+        .when(F.col("turn") % 4 == 2, F.array().cast("array<int>"))
+        .alias("evidence_sentences"),
+        F.when(F.col("turn") % 3 == 0, F.array().cast("array<int>"))
+        .otherwise(F.array(F.col("conv_id") + 1, F.lit(1)).cast("array<int>"))
+        .alias("cited_doc_ids"),
+    )
+    docs = table(spark, sf_dir, "documents")
+    fresh = docs.select(
+        F.when(F.col("lang") == "de", F.concat(F.lit("x"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("doc_id"),
+        F.when(F.col("lang") != "fr", F.col("source")).alias("title"),
+        split_sentences("text").alias("abstract"),
+        F.col("doc_id").alias("idx"),
+    )
+    old = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("old").alias("title"), F.array("lang").alias("abstract"), F.lit(-1).alias("idx")
+    )
+    return claims, fresh.unionByName(old)
+
+
+SCIFACT = r"""
+corpus_ AS (
+  SELECT doc_id, CASE WHEN lang = 'de' THEN 'old' WHEN lang = 'fr' THEN NULL ELSE source END AS title,
+    CASE WHEN lang = 'de' THEN [lang] ELSE list_filter(list_transform(
+      string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda x: trim(x, E' \n')), lambda x: x <> '') END AS lines FROM documents),
+claims AS (
+  SELECT conv_id * 100 + turn AS idx, text AS claim, role AS label, turn,
+    CASE WHEN turn % 2 = 0 AND conv_id > 0 THEN conv_id WHEN turn % 3 <> 0 THEN conv_id + 1 END AS picked,
+    CASE WHEN turn % 4 = 1 THEN [turn, turn + 50] WHEN turn % 4 = 2 THEN [] END AS ev
+  FROM conversations),
+scifact AS (
+  SELECT c.*, title, lines, CASE WHEN doc_id IS NULL THEN NULL WHEN title IS NULL THEN array_to_string(lines, chr(10))
+    ELSE trim(title || E'\n\n' || array_to_string(lines, chr(10)), E' \n') END AS doc
+  FROM claims c LEFT JOIN corpus_ ON doc_id = picked AND picked > 0)"""
