@@ -227,7 +227,7 @@ t_edges AS (
 f_nodes AS (
   SELECT graph_id, 'fused_B_' || node_id AS node_id, label, node_type, 'bottom_up' AS origin, ord, e FROM b_nodes
   UNION ALL
-  SELECT graph_id, 'fused_T_' || node_id, label, node_type, 'top_down', ord + 1099511627776, e FROM t_nodes),
+  SELECT graph_id, 'fused_T_' || node_id, label, node_type, 'top_down', ord + 35184372088832, e FROM t_nodes),
 f_edges AS (
   SELECT graph_id, 'fused_B_' || source AS source, 'fused_B_' || target AS target, relation, 'bottom_up' AS origin FROM b_edges
   WHERE (graph_id, source) IN (SELECT graph_id, node_id FROM b_nodes) AND (graph_id, target) IN (SELECT graph_id, node_id FROM b_nodes)

@@ -183,8 +183,8 @@ def union_graphs(b: Graphs, t: Graphs) -> Graphs:
 
 
 def after(df: DataFrame, steps: int) -> DataFrame:
-    """Move rows behind those of earlier additions: one step leaves room for 2**40 positions."""
-    return df.withColumn("ord", F.col("ord") + F.lit(steps) * F.lit(1 << 40))
+    """Move rows behind those of earlier additions: one step leaves room for 2**45 positions."""
+    return df.withColumn("ord", F.col("ord") + F.lit(steps) * F.lit(1 << 45))
 
 
 def ordinals(df: DataFrame, keys: list[str], chunk: list[Column], order: list[Column], out: str, base: int = 0) -> DataFrame:
