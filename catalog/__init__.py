@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from catalog import graphs, resolution, samples, texts  # noqa: F401
+    from catalog import experiments, graphs, plans, resolution, samples, texts  # noqa: F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.tables import (
     COMPONENTS,
+    epoch_seconds,
     FUSED,
     ORDER,
     increment_sql,
@@ -182,7 +183,7 @@ def _line_nodes(spark, sf):
         F.col("l_linestatus").alias("graph_id"),
         F.concat(F.lit("P"), "l_partkey").alias("node_id"),
         F.xxhash64("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").alias("spread"),
-        (F.unix_timestamp("l_shipdate") * 1000000 + F.col("l_orderkey")).alias("ord"),
+        (epoch_seconds("l_shipdate") * 1000000 + F.col("l_orderkey")).alias("ord"),
     )
 
 

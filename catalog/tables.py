@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import Graphs
@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_seconds(col: str) -> Column:
+    """Whole seconds since 1970 of a time stamp without zone, whatever the session zone is."""
+    days = F.date_diff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+
+
 def supply_graph(spark: SparkSession, sf_dir: str) -> Graphs:
     """One graph per nation: its suppliers, the parts they ship, one edge per line item.
 
@@ -561,3 +567,113 @@ scifact AS (
   SELECT c.*, title, lines, CASE WHEN doc_id IS NULL THEN NULL WHEN title IS NULL THEN array_to_string(lines, chr(10))
     ELSE trim(title || E'\n\n' || array_to_string(lines, chr(10)), E' \n') END AS doc
   FROM claims c LEFT JOIN corpus_ ON doc_id = picked AND picked > 0)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Experiments from the event stream: one per user, its events as trace, its orders as nodes."""
+    events = table(spark, sf_dir, "events").withColumn("experiment_id", F.col("user_id").cast("string"))
+    user = F.col("user_id")
+    strategies = F.array(*[F.lit(s) for s in ("asi", "psg", "scd", "ucb", "rule_based")])
+    experiments = events.groupBy("experiment_id", "user_id").agg(F.min("ts").alias("created_at")).select(
+        "experiment_id",
+        F.concat(F.lit("Run "), user).alias("name"),
+        F.concat(F.lit("goal "), user % 3).alias("goal"),
+        F.get(strategies, (user % 5).cast("int")).alias("halting_strategy"),
+        F.when(user % 7 == 0, "running").when(user % 7 == 1, "completed").otherwise("success").alias("status"),
+        "created_at",
+    )
+    nodes = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("experiment_id"), F.concat(F.lit("O"), "o_orderkey").alias("node_id")
+    )
+    nodes = nodes.join(experiments.select("experiment_id"), "experiment_id", "left_semi")
+    seconds = epoch_seconds("ts").cast("double").alias("ts")
+    trace = events.select(
+        "experiment_id",
+        F.col("event_id").alias("seq"),
+        seconds,
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("action"),
+        F.to_json(F.struct("value")).alias("details"),
+    )
+    logs = events.where("event_type = 'error'").select(
+        "experiment_id",
+        F.col("event_id").alias("seq"),
+        seconds,
+        F.lit("ERROR").alias("level"),
+        F.concat(F.lit("event "), "event_id").alias("message"),
+    )
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    stats = events.groupBy("experiment_id", F.col("event_type").alias("stage")).agg(
+        F.sum(k).alias("node_count"), F.count(F.lit(1)).alias("edge_count")
+    )
+    stats = stats.select("*", F.lit(0).alias("depth"), F.lit("events").alias("source"))
+    counted = events.groupBy("experiment_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    metrics = counted.select(
+        "experiment_id", F.explode(F.create_map(F.lit("events"), F.col("n"), F.lit("note"), F.lit('plain "text"'))).alias("key", "value")
+    )
+    return {"experiments": experiments, "nodes": nodes, "trace": trace, "logs": logs, "stats": stats, "metrics": metrics}
+
+
+def run_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All buckets of :func:`runs`."""
+    from graphloom.operators import analysis
+
+    r = runs(spark, sf_dir)
+    graphs = r["experiments"].select(
+        "experiment_id",
+        F.explode(F.array(F.lit("G_B"), F.lit("G_T"))).alias("stage"),
+        F.lit(0).alias("part"),
+        F.lit("").alias("json"),
+    )
+    text = F.when(F.col("stage") == "G_B", F.lit('{"nodes":[]}')).otherwise(F.lit("{cut off"))
+    return (
+        analysis.trace_bucket(r["trace"])
+        .unionByName(analysis.log_bucket(r["logs"]))
+        .unionByName(analysis.stats_bucket(r["stats"]))
+        .unionByName(analysis.metric_bucket(r["metrics"]))
+        .unionByName(analysis.graph_bucket(graphs.withColumn("json", text)))
+    )
+
+
+RUNS = r"""
+ev AS (SELECT CAST(user_id AS VARCHAR) AS experiment_id, * FROM events),
+experiments AS (
+  SELECT experiment_id, 'Run ' || user_id AS name, 'goal ' || (user_id % 3) AS goal,
+    ['asi', 'psg', 'scd', 'ucb', 'rule_based'][user_id % 5 + 1] AS halting_strategy,
+    CASE user_id % 7 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'success' END AS status, min(ts) AS created_at
+  FROM ev GROUP BY experiment_id, user_id),
+nodes AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS experiment_id, 'O' || o_orderkey AS node_id FROM orders
+  WHERE CAST(o_custkey AS VARCHAR) IN (SELECT experiment_id FROM experiments)),
+trace AS (
+  SELECT experiment_id, event_id AS seq, event_id // 1000 AS part, CASE WHEN event_type = 'view' THEN 'UNKNOWN' ELSE event_type END AS action FROM ev),
+node_totals AS (SELECT experiment_id, count(*) AS node_count FROM nodes GROUP BY experiment_id),
+trace_totals AS (SELECT experiment_id, count(*) AS iterations FROM trace GROUP BY experiment_id),
+stats AS (
+  SELECT experiment_id, event_type AS stage, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS node_count,
+    count(*) AS edge_count, 0 AS depth, 'events' AS source FROM ev GROUP BY experiment_id, event_type)"""
+
+
+def telemetry(events: DataFrame) -> DataFrame:
+    """Event rows as telemetry envelopes in JSON; large purchases lack a payload."""
+    seconds = epoch_seconds("ts")
+    stats = F.concat(
+        F.lit('{"intermediate_stats":{"'), "event_type", F.lit('":{"node_count":'), F.get_json_object("props", "$.k"),
+        F.lit(',"edge_count":'), F.col("event_id"), F.lit(',"depth":0,"source":"events"}}}'),
+    )
+    log = F.concat(F.lit('{"message":"event '), F.col("event_id"), F.lit('","level":"ERROR","timestamp":'), seconds, F.lit("}"))
+    is_log = F.col("event_type") == "error"
+    lost = (F.col("event_type") == "purchase") & (F.col("value") > 50)
+    payload = F.when(is_log, log).otherwise(stats)
+    head = F.concat(
+        F.lit('{"experimentId":"'), "user_id", F.lit('","type":"'), F.when(is_log, "LOG").otherwise("TELEMETRY"),
+        F.lit('","timestamp":'), seconds, F.lit(',"seq":'), F.col("event_id"),
+    )
+    tail = F.when(lost, F.lit("}")).otherwise(F.concat(F.lit(',"payload":'), payload, F.lit("}")))
+    return events.select("event_id", F.concat(head, tail).alias("value"))
+
+
+TELEMETRY = r"""
+sent AS (
+  SELECT CAST(user_id AS VARCHAR) AS experiment_id, CASE WHEN event_type = 'error' THEN 'LOG' ELSE 'TELEMETRY' END AS type,
+    floor(epoch(ts))::DOUBLE AS ts, event_id AS seq, event_type AS stage, CAST(json_extract_string(props, '$.k') AS BIGINT) AS node_count
+  FROM events WHERE NOT (event_type = 'purchase' AND value > 50))"""
