@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_all
+
 TEXT_MAP = "map<string,string>"
 METRIC_MAP = "map<string,double>"
 
@@ -112,9 +114,13 @@ class Graphs:
         return replace(self, edges=edges)
 
     def map_tables(self, step: Callable[[DataFrame], DataFrame]) -> Graphs:
-        """The same step on all three tables (a filter on ``graph_id``, a checkpoint…)."""
+        """The same step on all three tables (a filter on ``graph_id``, a column…)."""
         return Graphs(step(self.graphs), step(self.nodes), step(self.edges))
 
+    def cut(self) -> Graphs:
+        """The three tables written to the checkpoint folder, without their lineage."""
+        return Graphs(*cut_all(self.graphs, self.nodes, self.edges))
+
     def only(self, ids: DataFrame) -> Graphs:
         """The graphs whose id is in ``ids``."""
         keys = ids.select("graph_id")

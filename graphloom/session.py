@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,19 +40,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
     machine-local folder would be lost with its executor, so that is an error.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-    context.setCheckpointDir(named)
-    return context.getCheckpointDir() or named
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and read it back.
+
+    Unlike a checkpointed RDD the table keeps column pruning, filter pushdown and a known
+    size, so later joins are planned on facts. It outlives executors; :func:`drop_cuts`
+    removes it.
+    """
+    spark = df.sparkSession
+    path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_all(*frames: DataFrame) -> list[DataFrame]:
+    """:func:`cut` of several independent frames at once; their jobs share the cluster."""
+    if len(frames) == 1:
+        return [cut(frames[0])]
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(inheritable_thread_target(cut), frames))
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables this application has cut; frames that still read them end here."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_cut_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _cut_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
