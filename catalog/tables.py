@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom import Graphs
+from graphloom import Graphs, spread
+
+
+# Tables with much work per row.
+KEYS = {"documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, KEYS[name]) if name in KEYS else rows
 
 
 def epoch_seconds(col: str) -> Column:

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Python's str.split() sees it, in Java syntax, and the
-# characters that end a sentence.
-SPACE = r"[\s\x1c-\x1f]"
+# White space as Python's str.split() sees it, and the characters that end a
+# sentence.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+OTHER_SPACE = SPACE.replace(r"\x20", r"\x1f")
 ENDINGS = {"full": ".!?。！？", "ascii": ".!?"}
 
 
@@ -21,16 +23,19 @@ def _col(value: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Without white space at both ends, of any Unicode kind."""
-    return F.regexp_replace(_col(col), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(col), F.lit(SPACES))
 
 
 def rstrip(col: Column | str) -> Column:
-    return F.regexp_replace(_col(col), f"(?U){SPACE}+$", "")
+    return F.rtrim(_col(col), F.lit(SPACES))
 
 
 def squeeze(col: Column | str) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(_col(col), f"(?U){SPACE}+", " "))
+    """Runs of white space become one space; none at the ends.
+
+    Single spaces, by far the most common case, are left alone.
+    """
+    return F.trim(F.regexp_replace(_col(col), f"{SPACE}{{2,}}|{OTHER_SPACE}", " "))
 
 
 def fold(col: Column | str) -> Column:
@@ -40,7 +45,9 @@ def fold(col: Column | str) -> Column:
 
 def strip_markers(col: Column | str) -> Column:
     """Without triple markers, squeezed."""
-    return squeeze(F.regexp_replace(_col(col), "</?triplet>|</?subj>|</?obj>", ""))
+    col = _col(col)
+    bare = F.regexp_replace(col, "</?triplet>|</?subj>|</?obj>", "")
+    return squeeze(F.when(F.contains(col, F.lit("<")), bare).otherwise(col))
 
 
 def split_sentences(col: Column | str, endings: str = "full") -> Column:
@@ -48,7 +55,7 @@ def split_sentences(col: Column | str, endings: str = "full") -> Column:
 
     Blank text gives an empty array; text without an ending is one sentence.
     """
-    pieces = F.split(_col(col), f"(?U)(?<=[{ENDINGS[endings]}]){SPACE}+")
+    pieces = F.split(_col(col), f"(?<=[{ENDINGS[endings]}]){SPACE}+")
     return F.filter(F.transform(pieces, strip), lambda s: s != "")
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.functions.vectors import let
 from graphloom.model import Graphs, as_edges, as_graphs, as_nodes, stable_id
 from graphloom.operators.topology import ordinals
 from graphloom.operators.windows import WindowConfig, char_windows, sentence_windows
+from graphloom.session import cut
 
 # Field names under which relation records keep their parts, in order of
 # preference.
@@ -34,24 +36,43 @@ def parse_triples(df: DataFrame, col: str = "text", score: float = 1.0) -> DataF
     Every other column of ``df`` is kept; ``pos`` numbers the triples of a text.
     """
     decoded = F.regexp_replace(col, "</?s>", "")
-    contents = F.regexp_extract_all(decoded, F.lit(r"(?s)<triplet>(.*?)(?=</triplet>|<triplet>|\z)"), F.lit(1))
-    pair = r"(?s)<subj>(.*?)<obj>(.*?)(?=<subj>|\z)"
+    pieces = F.split(decoded, "<triplet>")
+    contents = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.substring_index(p, "</triplet>", 1))
 
-    def of_content(content: Column) -> Column:
-        head = T.strip_markers(F.substring_index(content, "<subj>", 1))
-        pairs = F.arrays_zip(
-            F.regexp_extract_all(content, F.lit(pair), F.lit(1)).alias("tail"),
-            F.regexp_extract_all(content, F.lit(pair), F.lit(2)).alias("relation"),
+    def triple(head: Column, relation: Column, tail: Column) -> Column:
+        return F.struct(
+            head.alias("head"), T.strip_markers(relation).alias("relation"), T.strip_markers(tail).alias("tail")
         )
+
+    def regular(head: Column, pairs: Column) -> Column:
+        """Every ``<subj>`` has its ``<obj>``."""
         return F.transform(
             pairs,
-            lambda p: F.struct(
-                head.alias("head"),
-                T.strip_markers(p["relation"]).alias("relation"),
-                T.strip_markers(p["tail"]).alias("tail"),
+            lambda p: triple(
+                head,
+                F.substring(p, F.length(F.substring_index(p, "<obj>", 1)) + 6, F.length(p)),
+                F.substring_index(p, "<obj>", 1),
             ),
         )
 
+    def irregular(head: Column, content: Column) -> Column:
+        """A ``<subj>`` without ``<obj>`` belongs to the tail that follows it."""
+        pair = r"(?s)<subj>(.*?)<obj>(.*?)(?=<subj>|\z)"
+        pairs = F.arrays_zip(
+            F.regexp_extract_all(content, F.lit(pair), F.lit(1)).alias("tail"),
+            F.regexp_extract_all(content, F.lit(pair), F.lit(2)).alias("relation"),
+        )
+        return F.transform(pairs, lambda p: triple(head, p["relation"], p["tail"]))
+
+    def of_content(content: Column) -> Column:
+        def of_parts(parts: Column) -> Column:
+            pairs = F.slice(parts, 2, F.size(parts))
+            complete = F.forall(pairs, lambda p: F.contains(p, F.lit("<obj>")))
+            head = T.strip_markers(F.get(parts, F.lit(0)))
+            return let(head, lambda h: F.when(complete, regular(h, pairs)).otherwise(irregular(h, content)))
+
+        return let(F.split(content, "<subj>"), of_parts)
+
     found = F.flatten(F.transform(contents, of_content))
     full = F.filter(found, lambda t: (t["head"] != "") & (t["relation"] != "") & (t["tail"] != ""))
     rest = [c for c in df.columns if c != col]
@@ -218,9 +239,10 @@ def extract(
 
     ``decode`` is the caller's model: a batch of window texts to linearised triples.
     """
-    cut = sentence_windows if align_sentences else char_windows
-    windows = cut(documents.select("graph_id", "text"), cfg)
+    split = sentence_windows if align_sentences else char_windows
+    windows = split(documents.select("graph_id", "text"), cfg)
     model = F.pandas_udf(decode, "string")
     decoded = windows.select("graph_id", F.col("chunk_id").alias("window_idx"), "chunk_id", model("text").alias("text"))
-    merged = merge_triples(valid_triples(parse_triples(decoded)), ["graph_id"])
+    # Written once: a repeated task must not ask the model again.
+    merged = merge_triples(valid_triples(parse_triples(cut(decoded))), ["graph_id"])
     return triples_to_graph(merged, "decoded", documents.select("graph_id"))

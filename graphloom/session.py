@@ -49,6 +49,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out an input that comes in fewer splits than there are cores.
+
+    Heavy work per row would otherwise run in a few tasks. An input with enough splits,
+    the normal case on large data, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back.
 
@@ -67,7 +77,7 @@ def cut_all(*frames: DataFrame) -> list[DataFrame]:
     if len(frames) == 1:
         return [cut(frames[0])]
     with ThreadPoolExecutor(len(frames)) as pool:
-        return list(pool.map(inheritable_thread_target(cut), frames))
+        return list(pool.map(inheritable_thread_target(frames[0].sparkSession)(cut), frames))
 
 
 def drop_cuts(spark: SparkSession) -> None:
