@@ -151,7 +151,7 @@ def loop_outcome(spark, sf):
 
 @query("full_run")
 def full_run(spark, sf):
-    """Every conversation as an experiment through the whole plan, with stand-in models."""
+    """Every turn of a conversation as an experiment through the whole plan, with stand-in models."""
 
     def decode(texts):
         words = texts.str.split()
@@ -167,10 +167,11 @@ def full_run(spark, sf):
 
     from graphloom.functions.vectors import embed
 
-    turns = table(spark, sf, "conversations")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n")
-    inputs = turns.groupBy(F.col("conv_id").cast("string").alias("experiment_id")).agg(text.alias("text"))
-    inputs = inputs.withColumn("goal", F.concat(F.lit("understand conversation "), "experiment_id"))
+    inputs = table(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("experiment_id"),
+        F.concat(F.lit("understand the "), "role").alias("goal"),
+        "text",
+    )
     result = run(inputs, decode, generate, embed, RunConfig(max_depth=2, max_iterations=2))
     return result.outcome.join(
         result.metrics.where("key = 'final_node_count'").select("experiment_id", F.col("value").alias("nodes")), "experiment_id"

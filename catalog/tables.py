@@ -67,7 +67,8 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Graphs:
     )
     nodes = sellers.unionByName(parts)
     nodes = nodes.withColumn("attrs", F.create_map(F.lit("score"), F.col("score").cast("string")))
-    return Graphs.of(nodes, edges)
+    ids = supplier.select(graph_id).unionByName(part.select((F.col("p_partkey") % 25).cast("string").alias("graph_id")))
+    return Graphs.of(nodes, edges, ids.distinct())
 
 
 SUPPLY = """
@@ -398,24 +399,26 @@ entities AS (
 
 
 def relation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON object per conversation: a relation record per turn, under varying names."""
-    turns = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("graph_id"),
-        "turn",
-        F.struct(
-            F.when(F.col("turn") % 2 == 0, F.col("role")).alias("head"),
-            F.when(F.col("turn") % 2 == 1, F.struct(F.lit("").alias("name"), F.col("role").alias("label"))).alias("startEntity"),
-            F.concat(F.lit(" says  in "), F.col("turn")).alias("predicate"),
-            F.struct(F.substring_index(F.translate("text", "\n", " "), " ", 1).alias("name")).alias("object"),
-        ).alias("r"),
+    """One JSON object per turn of a conversation: two relation records under varying names."""
+    turns = table(spark, sf_dir, "conversations")
+    word = F.substring_index(F.translate("text", "\n", " "), " ", 1)
+    says = F.struct(
+        F.when(F.col("turn") % 2 == 0, F.col("role")).alias("head"),
+        F.when(F.col("turn") % 2 == 1, F.struct(F.lit("").alias("name"), F.col("role").alias("label"))).alias("startEntity"),
+        F.concat(F.lit(" says  in "), F.col("turn")).alias("predicate"),
+        F.struct(word.alias("name")).alias("object"),
     )
-    # A conversation is bounded by its turns; each becomes one document.
-    packed = turns.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("turn", "r"))).alias("rs"))
-    rels = F.transform("rs", lambda x: x["r"])
-    even = F.col("graph_id").cast("bigint") % 2 == 0
-    return packed.select(
-        "graph_id",
-        F.to_json(F.struct(F.when(even, rels).alias("relations"), F.when(~even, rels).alias("edges"))).alias("json"),
+    part = F.struct(
+        F.lit(None).cast("string").alias("head"),
+        F.struct(F.lit("").alias("name"), word.alias("label")).alias("startEntity"),
+        F.lit("part of").alias("predicate"),
+        F.struct(F.concat(F.lit("conversation "), "conv_id").alias("name")).alias("object"),
+    )
+    records = F.array(says, part)
+    even = F.col("conv_id") % 2 == 0
+    document = F.struct(F.when(even, records).alias("relations"), F.when(~even, records).alias("edges"))
+    return turns.select(
+        F.col("conv_id").cast("string").alias("graph_id"), F.col("turn").alias("window_idx"), F.to_json(document).alias("json")
     )
 
 

@@ -169,11 +169,14 @@ def triples_to_graph_edges(spark, sf):
 
 
 RECORDS = r"""
+said AS (SELECT CAST(conv_id AS VARCHAR) AS graph_id, turn AS window_idx, role, split_part(replace(text, chr(10), ' '), ' ', 1) AS word FROM conversations),
 turns AS (
-  SELECT CAST(conv_id AS VARCHAR) AS graph_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS head,
-         'says in ' || turn AS relation, split_part(replace(text, chr(10), ' '), ' ', 1) AS tail FROM conversations),
+  SELECT graph_id, window_idx, 0 AS pos, role AS head, 'says in ' || window_idx AS relation, word AS tail FROM said
+  UNION ALL SELECT graph_id, window_idx, 1, word, 'part of', 'conversation ' || graph_id FROM said),
 triples AS (SELECT * FROM turns WHERE head <> '' AND tail <> ''),
-seen AS (SELECT graph_id, head AS label, pos * 2 AS place FROM triples UNION ALL SELECT graph_id, tail, pos * 2 + 1 FROM triples),
+seen AS (
+  SELECT graph_id, head AS label, window_idx * 4 + pos * 2 AS place FROM triples
+  UNION ALL SELECT graph_id, tail, window_idx * 4 + pos * 2 + 1 FROM triples),
 entities AS (
   SELECT graph_id, label, row_number() OVER (PARTITION BY graph_id ORDER BY place) AS k FROM (
     SELECT graph_id, label, min(place) AS place FROM seen GROUP BY graph_id, label))"""
@@ -181,15 +184,14 @@ entities AS (
 
 @query(
     "relation_records",
-    f"WITH {RECORDS} SELECT graph_id, CAST(pos AS INTEGER) AS pos, head, relation, tail FROM triples",
+    f"WITH {RECORDS} SELECT graph_id, window_idx, CAST(pos AS INTEGER) AS pos, head, relation, tail FROM triples",
 )
 def relation_records_(spark, sf):
     return TR.relations_to_triples(relation_records(spark, sf)).drop("score")
 
 
 def _record_graph(spark, sf):
-    rows = TR.relations_to_triples(relation_records(spark, sf)).withColumn("window_idx", F.lit(0))
-    return TR.triples_to_graph(rows, "records")
+    return TR.triples_to_graph(TR.relations_to_triples(relation_records(spark, sf)), "records")
 
 
 @query(

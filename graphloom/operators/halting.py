@@ -143,7 +143,11 @@ def score_nodes(
         metrics = {"ablation_value": value, **chosen.metrics(value)}
         extra = {}
     elif mode == "rule_based":
-        per_graph = node_counts(g.nodes).join(_state(g.graphs, state), "graph_id")
+        per_graph = node_counts(g.nodes)
+        if state is None:
+            per_graph = per_graph.withColumns({"depth": F.lit(0), "iteration": F.lit(0)})
+        else:
+            per_graph = per_graph.join(state.select("graph_id", "depth", "iteration"), "graph_id")
         nodes = with_degree(g.nodes, g.edges).join(per_graph, "graph_id")
         status, reason = _rule_based(limits)
         value = _degree()

@@ -10,29 +10,39 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings that may change while a session runs. A hot graph or hub makes one join partition
+# huge: adaptive execution splits it even where that costs one more shuffle of the
+# aggregated rows behind the join.
+RUNTIME = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def build_session(app_name: str = "graphloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
 
-    Shuffle partition counts are left to the cluster: adaptive execution coalesces
-    small partitions and splits skewed ones.
+    Shuffle partition counts are left to the cluster: adaptive execution coalesces small
+    partitions and splits skewed ones.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    }
-    settings.update(conf)
-    for key, value in settings.items():
+    for key, value in {**RUNTIME, "spark.sql.session.timeZone": "UTC", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Give a session that was built elsewhere the runtime settings."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
