@@ -187,26 +187,34 @@ def after(df: DataFrame, steps: int) -> DataFrame:
     return df.withColumn("ord", F.col("ord") + F.lit(steps) * F.lit(1 << 45))
 
 
-def ordinals(df: DataFrame, keys: list[str], chunk: list[Column], order: list[Column], out: str, base: int = 0) -> DataFrame:
+def ordinals(
+    df: DataFrame, keys: list[str], coarse: Column, chunk: list[Column], order: list[Column], out: str, base: int = 0
+) -> DataFrame:
     """Number the rows of each key by ``order`` without gathering a key in one task.
 
-    ``chunk`` is a prefix-compatible coarsening of ``order`` (all rows of a smaller chunk
-    come first). Rows are numbered inside their chunk; a small per-chunk count table gives
-    the offset, so one giant key is still split over its chunks.
+    ``chunk`` coarsens ``order`` and ``coarse`` coarsens ``chunk`` (all rows of a smaller one
+    come first). Rows are numbered inside their chunk, chunk counts are added up inside their
+    coarse chunk, and only the coarse counts of a key meet in one place.
     """
     names = [f"__chunk{i}" for i in range(len(chunk))]
-    marked = df.withColumns(dict(zip(names, chunk, strict=True)))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.withColumns({"__coarse": coarse, **dict(zip(names, chunk, strict=True))})
+
+    def before(count: str, part: list[str], by: list[str]) -> Column:
+        window = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(count).over(window), F.lit(0))
+
+    counts = marked.groupBy(*keys, "__coarse", *names).agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*keys, "__coarse").agg(F.sum("__n").alias("__total"))
+    starts = totals.withColumn("__start", before("__total", keys, ["__coarse"])).drop("__total")
     offsets = (
-        marked.groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .drop("__n")
+        counts.withColumn("__inner", before("__n", [*keys, "__coarse"], names))
+        .join(starts, [*keys, "__coarse"])
+        .select(*keys, "__coarse", *names, (F.col("__start") + F.col("__inner")).alias("__offset"))
     )
-    within = Window.partitionBy(*keys, *names).orderBy(*order)
+    within = Window.partitionBy(*keys, "__coarse", *names).orderBy(*order)
     return (
         marked.withColumn("__row", F.row_number().over(within))
-        .join(offsets, [*keys, *names])
+        .join(offsets, [*keys, "__coarse", *names])
         .withColumn(out, F.col("__offset") + F.col("__row") - 1 + base)
-        .drop("__row", "__offset", *names)
+        .drop("__row", "__offset", "__coarse", *names)
     )

@@ -162,8 +162,9 @@ def assign_entity_ids(triples: DataFrame, prefix: str = "entity_", base: int = 0
         "graph_id", "e.label", F.struct("window_idx", "pos", "e.side").alias("place")
     )
     first = seen.groupBy("graph_id", "label").agg(F.min("place").alias("place"))
+    coarse = F.floor(F.col("place.window_idx") / 1024)
     chunk = [F.col("place.window_idx"), F.floor(F.col("place.pos") / 4096)]
-    numbered = ordinals(first, ["graph_id"], chunk, [F.col("place")], "ord", base)
+    numbered = ordinals(first, ["graph_id"], coarse, chunk, [F.col("place")], "ord", base)
     return numbered.select(
         "graph_id", "label", F.concat(F.lit(prefix), F.col("ord").cast("string")).alias("node_id"), "ord"
     )
@@ -186,8 +187,9 @@ def triples_to_graph(triples: DataFrame, style: str = "decoded", documents: Data
     nodes = ids.select(
         "graph_id", "node_id", "ord", "label", F.lit("entity").alias("node_type"), state.alias("state"), meta.alias("meta")
     )
+    coarse = F.floor(F.col("window_idx") / 1024)
     chunk = [F.col("window_idx"), F.floor(F.col("pos") / 4096)]
-    numbered = ordinals(triples, ["graph_id"], chunk, [F.col("window_idx"), F.col("pos")], "ord")
+    numbered = ordinals(triples, ["graph_id"], coarse, chunk, [F.col("window_idx"), F.col("pos")], "ord")
     key = ids.select("graph_id", "label", "node_id")
     edges = (
         numbered.join(key.select("graph_id", F.col("label").alias("head"), F.col("node_id").alias("s")), ["graph_id", "head"])

@@ -107,7 +107,7 @@ def with_index(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     if not keys:
         place, keys = place.withColumn("__all", F.lit(0)), ["__all"]
     chunk = [F.col("__file"), F.floor(F.col("__at") / 65536)]
-    return ordinals(place, keys, chunk, [F.col("__at")], "idx").select(*names, "idx")
+    return ordinals(place, keys, F.col("__file"), chunk, [F.col("__at")], "idx").select(*names, "idx")
 
 
 def list_splits(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
