@@ -344,3 +344,14 @@ HAVING evidence_nodes IS NOT NULL AND goal_nodes IS NOT NULL AND fused_nodes IS
 )
 def fusion_convergence(spark, sf):
     return analysis.convergence(runs(spark, sf)["stats"], ("click", "view", "signup"))
+
+
+@query(
+    "compare_stats",
+    f"""WITH {RUNS} SELECT experiment_id, CASE stage WHEN 'click' THEN 'G_B' WHEN 'view' THEN 'G_T' ELSE 'G_F' END AS stage, node_count, edge_count, depth, source
+FROM stats WHERE experiment_id IN ('3', '5', '999999') AND stage IN ('click', 'view', 'signup')""",
+)
+def compare_stats(spark, sf):
+    r = runs(spark, sf)
+    named = r["stats"].replace({"click": "G_B", "view": "G_T", "signup": "G_F"}, subset=["stage"])
+    return analysis.compare_stats(r["experiments"], analysis.stats_bucket(named), ["3", "5", "999999"])

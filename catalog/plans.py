@@ -67,6 +67,25 @@ def linear_stats(spark, sf):
     return _linear(spark, sf).stats
 
 
+@query(
+    "linear_buckets",
+    """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS experiment_id, lang FROM documents)
+SELECT experiment_id, category, key, CAST(CASE category WHEN 'graph' THEN n END AS BIGINT) AS nodes, CASE WHEN category = 'metadata' THEN '{"goal":"' || lang || '"}' END AS meta
+FROM d, (VALUES ('graph', 'raw_generated', 11), ('graph', 'filtered', 6), ('metadata', 'runtime_metadata', 0), ('stats', 'intermediate_telemetry', 0)) AS b(category, key, n)""",
+)
+def linear_buckets(spark, sf):
+    """The stored form of the linear run."""
+    data = _linear(spark, sf).data()
+    nodes = F.size(F.map_keys(F.from_json(F.get_json_object("value", "$.nodes"), "map<string,string>")))
+    return data.select(
+        "experiment_id",
+        "category",
+        "key",
+        F.when(F.col("category") == "graph", nodes).cast("bigint").alias("nodes"),
+        F.when(F.col("category") == "metadata", F.col("value")).alias("meta"),
+    )
+
+
 LOOP_NODES = 450
 _ROUNDS = 2
 

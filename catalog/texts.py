@@ -240,3 +240,71 @@ def extract_documents(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("graph_id"), "text")
     g = TR.extract(docs, decode, WindowConfig(window_size=100, overlap=20))
     return g.edges.select("graph_id", "source", "target", "relation", "ord")
+
+
+@query(
+    "extract_record_graphs",
+    rf"""WITH {SENTENCES},
+f AS (SELECT CAST(doc_id AS VARCHAR) AS graph_id, i, CASE WHEN length(s) > 280 THEN rtrim(left(s, 280), E' \n') || '…' ELSE s END AS fact FROM sent WHERE i < 40),
+w AS (SELECT graph_id, i, regexp_split_to_array(fact, '\s+') AS w FROM f),
+t AS (SELECT graph_id, i, w[1] AS head, w[-1] AS tail FROM w),
+seen AS (SELECT graph_id, head AS label, i * 2 AS place FROM t UNION ALL SELECT graph_id, tail, i * 2 + 1 FROM t),
+e AS (SELECT graph_id, label, row_number() OVER (PARTITION BY graph_id ORDER BY place) AS k FROM (SELECT graph_id, label, min(place) AS place FROM seen GROUP BY ALL))
+SELECT t.graph_id, 'ent:' || h.k AS source, 'ent:' || l.k AS target, 'leads to' AS relation, CAST(i AS BIGINT) AS ord
+FROM t JOIN e h ON h.graph_id = t.graph_id AND h.label = t.head JOIN e l ON l.graph_id = t.graph_id AND l.label = t.tail""",
+)
+def extract_record_graphs(spark, sf):
+    """Facts through a stand-in model: first and last word of each fact as a relation record."""
+
+    def relate(batches):
+        import json
+
+        def one(facts):
+            words = [f.split() for f in facts]
+            return json.dumps({"relationships": [{"subject": w[0], "object": {"name": w[-1]}, "type": "leads to"} for w in words]})
+
+        return batches.map(one)
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("graph_id"), "text")
+    g = TR.extract_records(docs, relate, F.lit("2024-01-31").cast("timestamp"))
+    return g.edges.select("graph_id", "source", "target", "relation", "ord")
+
+
+@query("embed_labels")
+def embed_labels(spark, sf):
+    """The default embedding of every part name."""
+    from graphloom.functions.vectors import embed
+
+    return embed(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("label")))
+
+
+@query("stable_index", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")
+def stable_index(spark, sf):
+    """File positions; the rows of the table lie in the order of their ids."""
+    from graphloom.sources.datasets import with_index
+
+    return with_index(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "idx")
+
+
+@query(
+    "date_stamps",
+    "SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS stamp, CAST(trunc((o_totalprice - 0.5) * 1000) AS BIGINT) AS ms FROM orders",
+)
+def date_stamps(spark, sf):
+    from graphloom.functions import values
+
+    rows = table(spark, sf, "orders").withColumn("start", F.lit(0.5))
+    return rows.select(
+        "o_orderkey", values.date_stamp("o_orderdate").alias("stamp"), values.elapsed_ms("start", "o_totalprice").alias("ms")
+    )
+
+
+@query(
+    "json_or_text",
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE '"' || event_type || '"' END AS value FROM events""",
+)
+def json_or_text(spark, sf):
+    from graphloom.functions import values
+
+    mixed = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", values.json_or_text(mixed).alias("value"))

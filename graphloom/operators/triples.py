@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -248,3 +249,27 @@ def extract(
     # Written once: a repeated task must not ask the model again.
     merged = merge_triples(valid_triples(parse_triples(cut(decoded))), ["graph_id"])
     return triples_to_graph(merged, "decoded", documents.select("graph_id"))
+
+
+def extract_records(
+    documents: DataFrame,
+    relate: Callable[[pd.Series], pd.Series],
+    obs_ts: Column,
+    max_facts: int = 40,
+    max_chars: int = 280,
+) -> Graphs:
+    """``documents(graph_id, text)`` → facts → ``relate`` in Arrow batches → triples → graphs.
+
+    ``relate`` is the caller's model: a batch of fact lists to JSON objects with relation
+    records. Documents without facts become empty graphs that say so.
+    """
+    facts = documents.select(
+        "graph_id", T.clamp_facts(T.split_sentences(F.coalesce("text", F.lit(""))), max_facts, max_chars).alias("facts")
+    )
+    started = time.time()
+    model = F.pandas_udf(relate, "string")
+    asked = facts.where(F.size("facts") > 0).select("graph_id", model("facts").alias("json"))
+    # Written once: a repeated task must not ask the model again.
+    triples = relations_to_triples(cut(asked)).withColumn("window_idx", F.lit(0))
+    elapsed = F.lit(int((time.time() - started) * 1000))
+    return triples_to_graph(triples, "records", extraction_stats(facts, triples, obs_ts, elapsed))

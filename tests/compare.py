@@ -27,7 +27,7 @@ def plain(value):
     if value is None or isinstance(value, (bool, int, str)):
         return value
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+        return "nan" if math.isnan(value) else value + 0.0
     if isinstance(value, decimal.Decimal):
         return ("decimal", str(value))
     if isinstance(value, datetime.datetime):
@@ -44,8 +44,23 @@ def rows_of(columns, rows):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp": "TIMESTAMP",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def differences(spark_df, con, sql: str) -> str | None:
-    """None when both sides give the same columns and the same bag of rows."""
+    """None when both sides give the same columns, types and bag of rows."""
+    types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    odd = {c: (t, types[c]) for c, t in spark_df.dtypes if c in types and TYPES.get(t) != types[c]}
+    if odd:
+        return f"types differ: {odd}"
     cur = con.execute(sql)
     sql_columns = [c[0] for c in cur.description]
     right = rows_of(sql_columns, cur.fetchall())

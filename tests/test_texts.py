@@ -236,3 +236,19 @@ def test_ordinals_of_one_giant_key(spark):
     df = spark.createDataFrame(rows, "k string, at long")
     got = ordinals(df, ["k"], F.floor(F.col("at") / 1000), [F.floor(F.col("at") / 100)], [F.col("at")], "n").collect()
     assert {(r.k, r.at, r.n) for r in got} == {("hot", i * 3, i) for i in range(5000)} | {("cold", 1, 0), ("cold", 5, 1)}
+
+
+def test_records_path(spark):
+    def relate(batches):
+        import json
+
+        def one(facts):
+            return json.dumps({"relations": [{"startEntity": {"name": "Paris"}, "endEntity": {"name": "France"}, "name": f"in {len(facts)} facts"}]})
+
+        return batches.map(one)
+
+    docs = spark.createDataFrame([("a", "Paris is the capital of France. It is old."), ("b", "  "), ("c", None)], "graph_id string, text string")
+    g = TR.extract_records(docs, relate, F.lit("2024-02-01").cast("timestamp"))
+    assert [(e.graph_id, e.source, e.target, e.relation) for e in g.edges.collect()] == [("a", "ent:1", "ent:2", "in 2 facts")]
+    heads = {r.graph_id: r.meta for r in g.graphs.collect()}
+    assert heads["b"]["reason"] == heads["c"]["reason"] == "empty_input" and heads["a"]["atomic_facts"] == "2"
