@@ -124,33 +124,39 @@ def _relation_record() -> str:
 def entity_text(value: Column | str) -> Column:
     """Text of an entity given as a string or as a JSON object; never null."""
     value = F.col(value) if isinstance(value, str) else value
-    fields = F.from_json(value, ",".join(f"{f} string" for f in ENTITY_FIELDS))
-    named = F.coalesce(*[F.nullif(fields[f], F.lit("")) for f in ENTITY_FIELDS], F.lit(""))
-    is_object = F.startswith(F.ltrim(value), F.lit("{"))
-    return T.squeeze(F.coalesce(F.when(is_object, named).otherwise(value), F.lit("")))
+
+    def named(v: Column) -> Column:
+        parsed = F.from_json(v, ",".join(f"{f} string" for f in ENTITY_FIELDS))
+        return let(parsed, lambda p: F.coalesce(*[F.nullif(p[f], F.lit("")) for f in ENTITY_FIELDS], F.lit("")))
+
+    def text(v: Column) -> Column:
+        return F.when(F.startswith(F.ltrim(v), F.lit("{")), named(v)).otherwise(v)
+
+    return T.squeeze(let(F.coalesce(value, F.lit("")), text))
 
 
 def relations_to_triples(df: DataFrame, col: str = "json") -> DataFrame:
-    """Triples of a JSON object that holds relation records under any of the known names."""
+    """Triples of a JSON object that holds relation records under any of the known names.
+
+    The object is parsed once and its records become triples before they become rows.
+    """
     record = _relation_record()
     parsed = F.from_json(col, ",".join(f"{c} {record}" for c in CONTAINER_FIELDS))
-    filled = [F.when(F.size(parsed[c]) > 0, parsed[c]) for c in CONTAINER_FIELDS]
+    records = let(parsed, lambda p: F.coalesce(*[F.when(F.size(p[c]) > 0, p[c]) for c in CONTAINER_FIELDS]))
+    empty = ["", "{}", "[]", "null", "false"]
+
+    def pick(r: Column, names: list[str]) -> Column:
+        return entity_text(F.coalesce(*[F.when(~r[n].isin(empty), r[n]) for n in names]))
+
+    def triple(r: Column) -> Column:
+        return F.struct(
+            pick(r, HEAD_FIELDS).alias("head"), pick(r, RELATION_FIELDS).alias("relation"), pick(r, TAIL_FIELDS).alias("tail")
+        )
+
+    full = F.filter(F.transform(records, triple), lambda t: (t["head"] != "") & (t["relation"] != "") & (t["tail"] != ""))
     rest = [c for c in df.columns if c != col]
-    rows = df.select(*rest, F.posexplode(F.coalesce(*filled)).alias("pos", "r"))
-
-    def pick(names: list[str]) -> Column:
-        empty = ["", "{}", "[]", "null", "false"]
-        return entity_text(F.coalesce(*[F.when(~F.col(f"r.{n}").isin(empty), F.col(f"r.{n}")) for n in names]))
-
-    out = rows.select(
-        *rest,
-        "pos",
-        pick(HEAD_FIELDS).alias("head"),
-        pick(RELATION_FIELDS).alias("relation"),
-        pick(TAIL_FIELDS).alias("tail"),
-        F.lit(1.0).alias("score"),
-    )
-    return out.where("head <> '' and relation <> '' and tail <> ''")
+    rows = df.select(*rest, F.posexplode(full).alias("pos", "t"))
+    return rows.select(*rest, "pos", "t.head", "t.relation", "t.tail", F.lit(1.0).alias("score"))
 
 
 def assign_entity_ids(triples: DataFrame, prefix: str = "entity_", base: int = 0) -> DataFrame:
