@@ -71,8 +71,8 @@ def token_count(col: Column | str, fn: Callable[[pd.Series], pd.Series] | None =
     """Tokens of a text: by the caller's batch function, else words between white space."""
     if fn is not None:
         return F.pandas_udf(fn, "int")(_col(col))
-    text = squeeze(col)
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
+    words = F.split(F.translate(_col(col), SPACES, " " * len(SPACES)), " ")
+    return F.size(F.array_remove(words, ""))
 
 
 def clamp_facts(facts: Column | str, count: int = 40, chars: int = 280) -> Column:

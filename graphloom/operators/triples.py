@@ -185,7 +185,9 @@ def triples_to_graph(triples: DataFrame, style: str = "decoded", documents: Data
     graphs for documents without triples.
     """
     look = STYLES[style]
-    ids = assign_entity_ids(triples, look["prefix"], look["base"])
+    # Both are read several times below.
+    triples = cut(triples)
+    ids = cut(assign_entity_ids(triples, look["prefix"], look["base"]))
     source = look["source"]
     meta = F.create_map(F.lit("source"), F.lit(source), F.lit("original_label"), F.col("label")) if source else F.create_map()
     state = F.create_map(F.lit("expandable"), F.lit(look["expandable"]))
