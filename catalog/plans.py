@@ -226,9 +226,6 @@ def telemetry_latest_stats(spark, sf):
     return TM.latest_stats(TM.stage_events(_events(spark, sf)))
 
 
-STATUS = f"WITH {TELEMETRY} SELECT experiment_id, arg_max(stage, (ts, seq)) AS status, TRUE AS refresh FROM sent GROUP BY experiment_id"
-
-
 @query("telemetry_latest_status", f"WITH {TELEMETRY} SELECT experiment_id, arg_max(type, (ts, seq)) AS status, TRUE AS refresh FROM sent GROUP BY experiment_id")
 def telemetry_latest_status(spark, sf):
     return TM.latest_status(_events(spark, sf).withColumnRenamed("type", "status"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 COMMIT = "run_id string, experiment_id string, status string, committed bigint"
 
@@ -67,12 +66,3 @@ def snapshot(df: DataFrame, path: str, stage: str, run_ts: str, sub_dir: str = "
     else:
         writer.text(target)
     return f"{target}/stage={stage}/run_ts={run_ts}"
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark can read something at ``path``."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException:
-        return False
-    return True
