@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, neighbours, pieces, warc
+from graphloom.llm import decontaminate, jaccard, neighbours, pieces, recompression, warc
 from graphloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from graphloom.llm.tables import documents, table
 from graphloom.session import checkpoint_dir
@@ -69,3 +69,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.decode(pieces.encode(documents(table(spark, sf_dir, "documents")))))
+
+
+_PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_REPEATS = f"""
+WITH w AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+p AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM w, unnest(generate_series(1, len(w) - 49)) AS u(s)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS m FROM p) WHERE doc_id > m),
+gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(generate_series(s, s + 49)) AS k FROM r) GROUP BY 1),
+k AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+           CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ks, i)) END AS kept
+    FROM w LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+@query("op3_recompression_substring_dedup", _REPEATS)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digest(documents(table(spark, sf_dir, "documents")))
+
+
+_LOWER_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op5_ngram_jaccard_join",
+    f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, c FROM r JOIN l ON x = r.doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(c)::BIGINT AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2
+""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(documents(table(spark, sf_dir, "documents")))

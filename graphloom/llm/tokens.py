@@ -65,7 +65,9 @@ def _powers(n: int) -> np.ndarray:
     if len(_POWERS) < n:
         size = 1 << int(n - 1).bit_length()
         with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, np.uint64)]).astype(np.uint64))
+            factors = np.full(size, _BASE, np.uint64)
+            factors[0] = 1
+            _POWERS = np.cumprod(factors, dtype=np.uint64)
     return _POWERS
 
 
