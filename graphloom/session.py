@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+import os
 import tempfile
 import uuid
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -36,27 +39,53 @@ def build_session(app_name: str = "graphloom", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in {**RUNTIME, "spark.sql.session.timeZone": "UTC", **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Give a session that was built elsewhere the runtime settings."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, package: str = "graphloom") -> SparkSession:
+    """Give the executors the source of a package, once per application.
+
+    Functions that run on Arrow batches are sent by name, so each worker imports the package,
+    from whatever folder it was started in.
+    """
+    context = spark.sparkContext
+    mark = (context.applicationId, package)
+    if mark not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(importlib.import_module(package).__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix=f"{package}-"), f"{package}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.join(package, os.path.relpath(path, root)))
+        context.addPyFile(archive)
+        _SHIPPED.add(mark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its executor, so that is an error.
+    Only a session whose executors are threads of the driver (``local``, ``local[n]``) gets a
+    temporary folder without that setting; on a cluster, also one on this machine, a folder of one
+    machine would be lost with it, so that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return context.getCheckpointDir()
