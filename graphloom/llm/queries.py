@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, jaccard, neighbours, pieces, recompression, warc
+from graphloom.llm import decontaminate, jaccard, language, neighbours, pieces, quality, recompression, warc
 from graphloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from graphloom.llm.tables import documents, table
 from graphloom.session import checkpoint_dir
@@ -108,3 +108,15 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(c)::BIGINT AS component
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(documents(table(spark, sf_dir, "documents")))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(table(spark, sf_dir, "documents"), "lang")
+    return language.identify(docs, language.train(docs))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(table(spark, sf_dir, "documents"), "lang")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "accepted")
