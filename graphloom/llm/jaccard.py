@@ -7,7 +7,9 @@ members are one group, and equal sets are one set throughout.
 
 A group is first compared with its lowest member. Whoever is linked to it needs no further comparison with
 others of the same component; only groups that still hold several components are compared in full, in
-cells of two blocks of bounded size. Every comparison stores one side of a cell in a trie of
+cells of two blocks of bounded size. Before the sets themselves are sent to a cell, parity signatures (an eighth
+of a byte an n-gram, and a lower bound of the difference of two sets) sort out whoever has no possible partner
+there. Every comparison stores one side of a cell in a trie of
 the ordered sets, walks it once per set of the other side with the partial overlap of each shared path, and
 leaves a subtree when the lengths that remain cannot reach the overlap that is needed. A cell emits a forest of
 its links, never all pairs.
@@ -76,6 +78,17 @@ class Sets:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.tokens ^ np.uint64(0xA5)), dtype=np.uint64)])
         self.keys = mix(total[self.bounds[1:]] - total[self.bounds[:-1]] + self.sizes.astype(np.uint64)).view(np.int64)
 
+    def signatures(self) -> list[bytes]:
+        """Parity bits of each set: bit ``token mod m`` for a power of two ``m`` of at least the set's size and 64.
+
+        Two signatures, the longer one folded, differ in at most as many bits as their sets in n-grams.
+        """
+        bits = 1 << np.ceil(np.log2(np.maximum(self.sizes, 64))).astype(np.int64)
+        start = np.cumsum(bits) - bits
+        at = start[self.rows] + (self.tokens & (bits[self.rows] - 1).astype(np.uint64)).astype(np.int64)
+        packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
+        return [packed[a : a + b].tobytes() for a, b in zip((start // 8).tolist(), (bits // 8).tolist(), strict=True)]
+
     def ordered(self, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens in the global order within each row, and their sketched counts."""
         seen = sketch[self.tokens & np.uint64(len(sketch) - 1)]
@@ -84,14 +97,14 @@ class Sets:
 
 
 def set_keys(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``(d, h, n, k)``: size and key of each row's set; equal sets have equal keys."""
+    """``(d, h, n, k, sig)``: size, key and signature of each row's set; equal sets have equal keys."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = Sets(column_of(batch, "text"), size)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "d"), column_of(batch, "h"), pa.array(sets.sizes), pa.array(sets.keys)], ["d", "h", "n", "k"])
+            yield pa.RecordBatch.from_arrays([column_of(batch, "d"), column_of(batch, "h"), pa.array(sets.sizes), pa.array(sets.keys), pa.array(sets.signatures(), pa.binary())], ["d", "h", "n", "k", "sig"])
 
-    return identified(docs).mapInArrow(find, "d long, h long, n long, k long")
+    return identified(docs).mapInArrow(find, "d long, h long, n long, k long, sig binary")
 
 
 def sketch_counts(docs: DataFrame, size: int = SIZE, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -351,32 +364,107 @@ def _set_tokens(docs: DataFrame, keys: DataFrame, wanted: DataFrame, sketch: np.
     return texts.mapInArrow(find, "k long, tokens binary")
 
 
+def _folded(signatures: list[bytes], words: int) -> np.ndarray:
+    """Signatures of one length as rows of 64-bit words, folded to ``words`` of them."""
+    out = np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
+    while out.shape[1] > words:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def may_be_linked(stored: list[tuple], probes: list[tuple], percent: int = PERCENT) -> tuple[set, set]:
+    """Indices of the stored sets and of the probes ``(k, component, n, signature)`` with a possible partner.
+
+    A pair is possible if it has two components, sizes near enough, and signatures that differ in no more
+    bits than linked sets can differ in n-grams.
+    """
+    left, right = set(), set()
+    by_length: list[dict[int, list[int]]] = [{}, {}]
+    for side, rows in enumerate((stored, probes)):
+        for i, row in enumerate(rows):
+            by_length[side].setdefault(len(row[3]), []).append(i)
+    for a, own in by_length[0].items():
+        for b, others in by_length[1].items():
+            if max(a, b) > 4 * min(a, b):  # sizes differ too much
+                continue
+            words = min(a, b) // 8
+            one, two = _folded([stored[i][3] for i in own], words), _folded([probes[j][3] for j in others], words)
+            c1, n1 = (np.array([stored[i][x] for i in own]) for x in (1, 2))
+            c2, n2 = (np.array([probes[j][x] for j in others]) for x in (1, 2))
+            step = max(1, (1 << 20) // (len(others) * words))
+            for at in range(0, len(own), step):
+                part = slice(at, at + step)
+                differ = np.bitwise_count(one[part, None, :] ^ two[None]).sum(2, dtype=np.int64)
+                total = n1[part, None] + n2[None]
+                ok = (differ <= (100 - percent) * total // (100 + percent)) & (c1[part, None] != c2[None])
+                ok &= 100 * np.minimum(n1[part, None], n2[None]) >= percent * np.maximum(n1[part, None], n2[None])
+                left.update(own[at + i] for i in np.flatnonzero(ok.any(1)).tolist())
+                right.update(others[j] for j in np.flatnonzero(ok.any(0)).tolist())
+    return left, right
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], values) -> Iterator[tuple[int, list, list]]:
+    """``(cell, stored, probes)`` of rows sorted by cell; ``values(batch)`` gives an iterator of row values."""
+    cell, sides = None, ([], [])
+    for batch in batches:
+        for c, probe, value in zip(int64s(column_of(batch, "cell")).tolist(), column_of(batch, "probe").to_pylist(), values(batch), strict=True):
+            if c != cell:
+                if sides[0] and sides[1]:
+                    yield cell, *sides
+                cell, sides = c, ([], [])
+            sides[probe].append(value)
+    if sides[0] and sides[1]:
+        yield cell, *sides
+
+
+def _possible(cells: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``cells(cell, probe, k, c)`` that have a possible partner, as ``(cell, probe, k)``."""
+    signs = keys.join(cells.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    rows = cells.join(signs, "k").repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def values(batch):
+            return zip(*(column_of(batch, c).to_pylist() for c in ("k", "c", "n", "sig")), strict=True)
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["cell", "probe", "k"])
+
+        out = []
+        for cell, stored, probes in _grouped(batches, values):
+            left, right = may_be_linked(stored, probes, percent)
+            out += [(cell, False, stored[i][0]) for i in left] + [(cell, True, probes[j][0]) for j in right]
+            if len(out) > 50_000:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+    return rows.select("cell", "probe", "k", "c", "n", "sig").mapInArrow(run, "cell long, probe boolean, k long")
+
+
 def _linked(cells: DataFrame, docs: DataFrame, keys: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``(id1, id2)``: links found in ``cells(cell, probe, k)``."""
-    cells = cut(cells)
+    """``(id1, id2)``: links found in ``cells(cell, probe, k, c)`` between sets of different components."""
+    cells = cut(_possible(cells, keys, percent))
     sets = _set_tokens(docs, keys, cells, sketch, size)
-    rows = cells.join(sets, "k").repartition("cell").sortWithinPartitions("cell", "probe")
+    rows = cells.join(sets, "k").repartition("cell").sortWithinPartitions("cell")
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, stored, probes = None, [], []
-        links: list[tuple[int, int]] = []
+        def values(batch):
+            return ((k, np.frombuffer(b.as_py(), np.uint64)) for k, b in zip(int64s(column_of(batch, "k")).tolist(), column_of(batch, "tokens"), strict=True))
 
-        def done():
-            return cell_links(stored, probes, held.value, percent) if stored and probes else []
+        def made(links):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["id1", "id2"])
 
-        for batch in batches:
-            for c, probe, k, blob in zip(int64s(column_of(batch, "cell")).tolist(), column_of(batch, "probe").to_pylist(), int64s(column_of(batch, "k")).tolist(), column_of(batch, "tokens"), strict=True):
-                if c != cell:
-                    links += done()
-                    cell, stored, probes = c, [], []
-                (probes if probe else stored).append((k, np.frombuffer(blob.as_py(), np.uint64)))
+        links: list[tuple[int, int]] = []
+        for _, stored, probes in _grouped(batches, values):
+            links += cell_links(stored, probes, held.value, percent)
             if len(links) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["id1", "id2"])
+                yield made(links)
                 links = []
-        links += done()
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["id1", "id2"])
+            yield made(links)
 
     return rows.select("cell", "probe", "k", "tokens").mapInArrow(run, "id1 long, id2 long")
 
@@ -396,7 +484,8 @@ def _star_cells(members: DataFrame, percent: int) -> DataFrame:
     edges = edges.select("pivot", "k").distinct()
     size = edges.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / STAR_CELL).alias("cells"))
     placed = edges.join(size, "pivot").select("pivot", "k", F.xxhash64("pivot", F.pmod(F.xxhash64("k"), "cells")).alias("cell"))
-    return placed.select("cell", F.lit(False).alias("probe"), "k").unionByName(placed.select("cell", F.lit(True).alias("probe"), F.col("pivot").alias("k")).distinct())
+    cells = placed.select("cell", F.lit(False).alias("probe"), "k").unionByName(placed.select("cell", F.lit(True).alias("probe"), F.col("pivot").alias("k")).distinct())
+    return cells.withColumn("c", F.col("k"))
 
 
 def _block_cells(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -406,11 +495,11 @@ def _block_cells(members: DataFrame, components: DataFrame) -> DataFrame:
     size = own.groupBy("top").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("rows > 2 AND c0 < c1")
     blocks = own.join(size.select("top", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "top")
     block = F.pmod(F.xxhash64("k"), "blocks").cast("int")
-    paired = blocks.select("top", "k", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    paired = blocks.select("top", "k", "c", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     cell = F.xxhash64("top", F.least("b", "o"), F.greatest("b", "o"))
-    placed = paired.select(cell.alias("cell"), "k", "b", "o")
+    placed = paired.select(cell.alias("cell"), "k", "c", "b", "o")
     stored, probes = placed.where("b <= o"), placed.where("b >= o")
-    return stored.select("cell", F.lit(False).alias("probe"), "k").unionByName(probes.select("cell", F.lit(True).alias("probe"), "k"))
+    return stored.select("cell", F.lit(False).alias("probe"), "k", "c").unionByName(probes.select("cell", F.lit(True).alias("probe"), "k", "c"))
 
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
