@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, jaccard, language, neighbours, pieces, quality, recompression, warc
+from graphloom.llm import decontaminate, jaccard, language, neighbours, pieces, pseudo, quality, recompression, suffixes, warc
 from graphloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from graphloom.llm.tables import documents, table
 from graphloom.session import checkpoint_dir
@@ -120,3 +120,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"), "lang")
     return quality.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "accepted")
+
+
+@query("op8_pseudo_likelihood")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(table(spark, sf_dir, "documents"))
+    return pseudo.score(docs, pseudo.train(docs))
+
+
+@query("op4_sparse_suffix_dedup", _REPEATS)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(documents(table(spark, sf_dir, "documents")))
