@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from graphloom.llm.tokens import column_of, slices, utf8
 
@@ -225,17 +226,17 @@ class Decoder:
         return text
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: str, make, path: str, size: int) -> DataFrame:
+def _mapped(df: DataFrame, source: str, target: str, kind: DataType, make, path: str, size: int) -> DataFrame:
     """``df`` with one column more, made from another by ``make(vocabulary)`` in each task."""
     if target in df.columns:
         raise ValueError(f"there is already a column {target}")
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    schema = f"{', '.join(f'`{f.name.replace(chr(96), chr(96) * 2)}` {f.dataType.simpleString()}' for f in df.schema.fields)}, `{target}` {kind}"
+    schema = StructType([*df.schema.fields, StructField(target, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make(held.value)
         for batch in batches:
-            for part in slices([batch], source, size) if kind.startswith("array") else [batch]:
+            for part in slices([batch], source, size) if isinstance(kind, ArrayType) else [batch]:
                 yield pa.RecordBatch.from_arrays([*part.columns, apply(column_of(part, source))], [*part.schema.names, target])
 
     return df.mapInArrow(run, schema)
@@ -243,12 +244,12 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, make, path: str,
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = MODEL) -> DataFrame:
     """``docs`` with the piece ids of ``text``."""
-    return _mapped(docs, text, ids, "array<int>", lambda v: Automaton(v).encode, path, SLICE_BYTES)
+    return _mapped(docs, text, ids, ArrayType(IntegerType()), lambda v: Automaton(v).encode, path, SLICE_BYTES)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", path: str = MODEL) -> DataFrame:
     """``encoded`` with the text of its ``ids``."""
-    return _mapped(encoded, ids, text, "string", lambda v: Decoder(v).decode, path, SLICE_BYTES)
+    return _mapped(encoded, ids, text, StringType(), lambda v: Decoder(v).decode, path, SLICE_BYTES)
 
 
 def digest(decoded: DataFrame) -> DataFrame:
