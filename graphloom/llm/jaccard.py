@@ -6,10 +6,10 @@ prefixes, packed and dealt by n-gram, give groups of sets that may be linked. Gr
 members are one group, and equal sets are one set throughout.
 
 A group is first compared with its lowest member. Whoever is linked to it needs no further comparison with
-others of the same component; only groups that still hold several components are compared in full, in
-cells of two blocks of bounded size. Before the sets themselves are sent to a cell, parity signatures (an eighth
-of a byte an n-gram, and a lower bound of the difference of two sets) sort out whoever has no possible partner
-there. Every comparison stores one side of a cell in a trie of
+others of the same component; only groups that still hold several components are looked at in full, in
+cells of two blocks of bounded size: first by parity signatures (an eighth of a byte an n-gram, and a lower
+bound of the difference of two sets). Whoever possible pairs connect, over all groups, makes one group then, so that a set
+is sent once and not with every n-gram it shares. Every comparison stores one side of a cell in a trie of
 the ordered sets, walks it once per set of the other side with the partial overlap of each shared path, and
 leaves a subtree when the lengths that remain cannot reach the overlap that is needed. A cell emits a forest of
 its links, never all pairs.
@@ -23,6 +23,7 @@ gives no rows; other columns are ignored (``representatives`` carries them along
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ FLUSH = 1_000_000
 HOT = 2_000
 STAR_CELL = 512
 BLOCK = 512
+FILTER_BITS = 24
 
 
 def least_overlap(p: np.ndarray | int, n: np.ndarray | int, percent: int = PERCENT):
@@ -348,20 +350,37 @@ def cell_links(stored: list[tuple[int, np.ndarray]], probes: list[tuple[int, np.
     return out
 
 
-def _set_tokens(docs: DataFrame, keys: DataFrame, wanted: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
-    """``(k, tokens)`` of the wanted sets, from the text of one document that has them."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
-    one = keys.join(wanted.select("k").distinct(), "k").groupBy("k").agg(F.min(F.struct("d", "h")).alias("w")).select("k", "w.d", "w.h")
-    texts = identified(docs).dropDuplicates(["d", "h"]).join(one, ["d", "h"]).select("k", "text")
+def _key_filter(wanted: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each value of a key's low bits, set where a wanted key has it; of fixed size."""
+    x = F.pmod(F.col("k"), F.lit(1 << bits)) + 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(x).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bitmap")).collect()
+    out = np.zeros((max(1, (1 << bits) // 32_768), 4_096), np.uint8)
+    for row in rows:
+        out[row.bucket - 1] = np.frombuffer(row.bitmap, np.uint8)
+    return out.ravel()
+
+
+def _set_tokens(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
+    """``(k, tokens)`` of the wanted sets and, where low bits agree, of some others.
+
+    Texts stay where they are read: a filter of fixed size tells which sets to send at all.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((sketch, _key_filter(wanted)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, bitmap = held.value
         for batch in slices(batches):
             sets = Sets(column_of(batch, "text"), size)
-            tokens, _ = sets.ordered(held.value)
-            blobs = [tokens[a:b].tobytes() for a, b in zip(sets.bounds[:-1], sets.bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([column_of(batch, "k"), pa.array(blobs, pa.binary())], ["k", "tokens"])
+            low = sets.keys & (len(bitmap) * 8 - 1)
+            use = np.flatnonzero((bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool) & (sets.sizes > 0))
+            if len(use) == 0:
+                continue
+            use = use[np.unique(sets.keys[use], return_index=True)[1]]
+            tokens, _ = sets.ordered(sketch)
+            blobs = [tokens[sets.bounds[i] : sets.bounds[i + 1]].tobytes() for i in use]
+            yield pa.RecordBatch.from_arrays([pa.array(sets.keys[use]), pa.array(blobs, pa.binary())], ["k", "tokens"])
 
-    return texts.mapInArrow(find, "k long, tokens binary")
+    return identified(docs).select("text").mapInArrow(find, "k long, tokens binary").dropDuplicates(["k"])
 
 
 def _folded(signatures: list[bytes], words: int) -> np.ndarray:
@@ -373,35 +392,49 @@ def _folded(signatures: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def may_be_linked(stored: list[tuple], probes: list[tuple], percent: int = PERCENT) -> tuple[set, set]:
-    """Indices of the stored sets and of the probes ``(k, component, n, signature)`` with a possible partner.
+def may_be_linked(stored: list[tuple], probes: list[tuple], percent: int = PERCENT) -> np.ndarray:
+    """Which of the stored sets ``(k, component, n, signature)`` may be linked to which of the probes.
 
     A pair is possible if it has two components, sizes near enough, and signatures that differ in no more
     bits than linked sets can differ in n-grams.
     """
-    left, right = set(), set()
+    out = np.zeros((len(stored), len(probes)), bool)
     by_length: list[dict[int, list[int]]] = [{}, {}]
     for side, rows in enumerate((stored, probes)):
         for i, row in enumerate(rows):
             by_length[side].setdefault(len(row[3]), []).append(i)
     for a, own in by_length[0].items():
         for b, others in by_length[1].items():
-            if max(a, b) > 4 * min(a, b):  # sizes differ too much
-                continue
             words = min(a, b) // 8
             one, two = _folded([stored[i][3] for i in own], words), _folded([probes[j][3] for j in others], words)
             c1, n1 = (np.array([stored[i][x] for i in own]) for x in (1, 2))
             c2, n2 = (np.array([probes[j][x] for j in others]) for x in (1, 2))
+            near = 100 * np.minimum(n1[:, None], n2[None]) >= percent * np.maximum(n1[:, None], n2[None])
+            near &= c1[:, None] != c2[None]
             step = max(1, (1 << 20) // (len(others) * words))
             for at in range(0, len(own), step):
                 part = slice(at, at + step)
-                differ = np.bitwise_count(one[part, None, :] ^ two[None]).sum(2, dtype=np.int64)
-                total = n1[part, None] + n2[None]
-                ok = (differ <= (100 - percent) * total // (100 + percent)) & (c1[part, None] != c2[None])
-                ok &= 100 * np.minimum(n1[part, None], n2[None]) >= percent * np.maximum(n1[part, None], n2[None])
-                left.update(own[at + i] for i in np.flatnonzero(ok.any(1)).tolist())
-                right.update(others[j] for j in np.flatnonzero(ok.any(0)).tolist())
-    return left, right
+                if near[part].any():
+                    differ = np.bitwise_count(one[part, None, :] ^ two[None]).sum(2, dtype=np.int64)
+                    near[part] &= differ <= (100 - percent) * (n1[part, None] + n2[None]) // (100 + percent)
+            out[np.ix_(own, others)] = near
+    return out
+
+
+def _classes(possible: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part of a matrix of possible pairs."""
+    left = possible.any(1)
+    while left.any():
+        rows = np.zeros(len(left), bool)
+        rows[np.argmax(left)] = True
+        while True:
+            columns = possible[rows].any(0)
+            more = possible[:, columns].any(1)
+            if (more == rows).all():
+                break
+            rows = more
+        left &= ~rows
+        yield np.flatnonzero(rows), np.flatnonzero(columns)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], values) -> Iterator[tuple[int, list, list]]:
@@ -418,35 +451,57 @@ def _grouped(batches: Iterator[pa.RecordBatch], values) -> Iterator[tuple[int, l
         yield cell, *sides
 
 
+def _signed_rows(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """``cells(cell, probe, k, c)`` with sizes and signatures, sorted by cell."""
+    signs = keys.join(cells.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return cells.join(signs, "k").repartition("cell").sortWithinPartitions("cell").select("cell", "probe", "k", "c", "n", "sig")
+
+
+def _values(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(column_of(batch, c).to_pylist() for c in ("k", "c", "n", "sig")), strict=True)
+
+
+def _in_batches(rows: Iterator[tuple], schema: dict[str, pa.DataType], size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), schema.values(), strict=True)], list(schema))
+
+
 def _possible(cells: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """The rows of ``cells(cell, probe, k, c)`` that have a possible partner, as ``(cell, probe, k)``."""
-    signs = keys.join(cells.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    rows = cells.join(signs, "k").repartition("cell").sortWithinPartitions("cell")
+
+    def rows_of(batches):
+        for cell, stored, probes in _grouped(batches, _values):
+            pairs = may_be_linked(stored, probes, percent)
+            yield from ((cell, False, stored[i][0]) for i in np.flatnonzero(pairs.any(1)))
+            yield from ((cell, True, probes[j][0]) for j in np.flatnonzero(pairs.any(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def values(batch):
-            return zip(*(column_of(batch, c).to_pylist() for c in ("k", "c", "n", "sig")), strict=True)
+        yield from _in_batches(rows_of(batches), {"cell": pa.int64(), "probe": pa.bool_(), "k": pa.int64()})
 
-        def made(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["cell", "probe", "k"])
+    return _signed_rows(cells, keys).mapInArrow(run, "cell long, probe boolean, k long")
 
-        out = []
-        for cell, stored, probes in _grouped(batches, values):
-            left, right = may_be_linked(stored, probes, percent)
-            out += [(cell, False, stored[i][0]) for i in left] + [(cell, True, probes[j][0]) for j in right]
-            if len(out) > 50_000:
-                yield made(out)
-                out = []
-        if out:
-            yield made(out)
 
-    return rows.select("cell", "probe", "k", "c", "n", "sig").mapInArrow(run, "cell long, probe boolean, k long")
+def _possible_groups(cells: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """``(top, k)``: the sets that possible pairs of any cell connect, each set in one group."""
+
+    def rows_of(batches):
+        for _, stored, probes in _grouped(batches, _values):
+            for rows, columns in _classes(may_be_linked(stored, probes, percent)):
+                own = {stored[i][0] for i in rows} | {probes[j][0] for j in columns}
+                lowest = min(own)
+                yield from ((lowest, k) for k in own if k != lowest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(rows_of(batches), {"id1": pa.int64(), "id2": pa.int64()})
+
+    found = cut(_components(_signed_rows(cells, keys).mapInArrow(run, "id1 long, id2 long").distinct()))
+    return found.select(F.col("root").alias("top"), "k").unionByName(found.select(F.col("root").alias("top"), F.col("root").alias("k")).distinct())
 
 
 def _linked(cells: DataFrame, docs: DataFrame, keys: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
     """``(id1, id2)``: links found in ``cells(cell, probe, k, c)`` between sets of different components."""
     cells = cut(_possible(cells, keys, percent))
-    sets = _set_tokens(docs, keys, cells, sketch, size)
+    sets = _set_tokens(docs, cells, sketch, size)
     rows = cells.join(sets, "k").repartition("cell").sortWithinPartitions("cell")
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -454,17 +509,8 @@ def _linked(cells: DataFrame, docs: DataFrame, keys: DataFrame, sketch: np.ndarr
         def values(batch):
             return ((k, np.frombuffer(b.as_py(), np.uint64)) for k, b in zip(int64s(column_of(batch, "k")).tolist(), column_of(batch, "tokens"), strict=True))
 
-        def made(links):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["id1", "id2"])
-
-        links: list[tuple[int, int]] = []
-        for _, stored, probes in _grouped(batches, values):
-            links += cell_links(stored, probes, held.value, percent)
-            if len(links) > 50_000:
-                yield made(links)
-                links = []
-        if links:
-            yield made(links)
+        links = (link for _, stored, probes in _grouped(batches, values) for link in cell_links(stored, probes, held.value, percent))
+        yield from _in_batches(links, {"id1": pa.int64(), "id2": pa.int64()})
 
     return rows.select("cell", "probe", "k", "tokens").mapInArrow(run, "id1 long, id2 long")
 
@@ -488,11 +534,11 @@ def _star_cells(members: DataFrame, percent: int) -> DataFrame:
     return cells.withColumn("c", F.col("k"))
 
 
-def _block_cells(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Groups that still hold several components, in cells of two blocks."""
+def _block_cells(members: DataFrame, components: DataFrame, least: int) -> DataFrame:
+    """Groups of at least ``least`` sets that still hold several components, in cells of two blocks."""
     own = members.select("top", "k").distinct().join(components, "k", "left").select("top", "k", F.coalesce("root", "k").alias("c"))
     own = cut(own)
-    size = own.groupBy("top").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("rows > 2 AND c0 < c1")
+    size = own.groupBy("top").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("c0"), F.max("c").alias("c1")).where((F.col("rows") >= least) & (F.col("c0") < F.col("c1")))
     blocks = own.join(size.select("top", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "top")
     block = F.pmod(F.xxhash64("k"), "blocks").cast("int")
     paired = blocks.select("top", "k", "c", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
@@ -508,7 +554,10 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     members, sketch = candidate_groups(docs, size, percent)
     members = cut(members)
     stars = cut(_linked(_star_cells(members, percent), docs, keys, sketch, size, percent))
-    blocks = _linked(_block_cells(members, _components(stars)), docs, keys, sketch, size, percent)
+    known = cut(_components(stars))
+    # a group of two has been compared already
+    groups = cut(_possible_groups(_block_cells(members, known, 3), keys, percent))
+    blocks = _linked(_block_cells(groups, known, 2), docs, keys, sketch, size, percent)
     # rows of one doc_id are one node: their sets are linked too
     filled = keys.where("n > 0")
     same = filled.groupBy("d").agg(F.min("k").alias("id1"), F.max("k").alias("id2"), F.collect_set("k").alias("ks")).where("id1 < id2 AND d < 9223372036854775807")
