@@ -31,8 +31,8 @@ from graphloom.llm.tokens import Words, column_of, grams, int64s, join_hash, sli
 from graphloom.session import cut
 
 GRAM = 10
-GROUP = 20_000
-ROWS = 20_000
+GROUP = 2_000
+ROWS = 5_000
 
 
 def minimisers(words: Words, window: int = WINDOW, size: int = GRAM) -> tuple[np.ndarray, ...]:
