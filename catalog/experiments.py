@@ -23,9 +23,10 @@ te AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS graph_id, 't' || c_custkey AS edge_id, c_custkey AS ord, 'M' || c_mktsegment AS source, 'C' || c_custkey AS target, 'targets' AS relation FROM customer
   UNION ALL
   SELECT CAST(c_nationkey AS VARCHAR), 'c' || o_orderkey, o_orderkey, 'M' || c_mktsegment, 'O' || o_orderkey, 'covers' FROM o),
-n AS (SELECT graph_id, ord // 5000 AS part, string_agg({node}, ',' ORDER BY ord, node_id) AS nodes FROM t_nodes GROUP BY ALL),
-ej AS (SELECT graph_id, ord, {edge} AS j FROM te),
-e AS (SELECT graph_id, ord // 5000 AS part, string_agg(j, ',' ORDER BY ord, j) AS edges FROM ej GROUP BY ALL)
+nj AS (SELECT graph_id, ord, j, (row_number() OVER (PARTITION BY graph_id ORDER BY ord, j) - 1) // 500 AS part FROM (SELECT graph_id, ord, {node} AS j FROM t_nodes)),
+n AS (SELECT graph_id, part, string_agg(j, ',' ORDER BY ord, j) AS nodes FROM nj GROUP BY ALL),
+ej AS (SELECT graph_id, ord, j, (row_number() OVER (PARTITION BY graph_id ORDER BY ord, j) - 1) // 500 AS part FROM (SELECT graph_id, ord, {edge} AS j FROM te)),
+e AS (SELECT graph_id, part, string_agg(j, ',' ORDER BY ord, j) AS edges FROM ej GROUP BY ALL)
 SELECT coalesce(n.graph_id, e.graph_id) AS graph_id, coalesce(n.part, e.part) AS part,
   '{{"graph_id":"' || coalesce(n.graph_id, e.graph_id) || '","depth":1,"source":"gpt_expander","nodes":{opening}' || coalesce(nodes, '')
   || '{closing},"edges":[' || coalesce(edges, '') || ']{meta}}}' AS json
@@ -40,17 +41,17 @@ _SERVICE_EDGE = """'{"source":"' || source || '","target":"' || target || '","re
 
 @query("graph_json", _document_sql(_PLAIN_NODE, _PLAIN_EDGE, "[", "]", ',"metadata":{}'))
 def graph_json(spark, sf):
-    return GJ.graph_json(_goal_graph(spark, sf), part_size=5000)
+    return GJ.graph_json(_goal_graph(spark, sf), part_size=500)
 
 
 @query("service_json", _document_sql(_SERVICE_NODE, _SERVICE_EDGE, "{", "}", ""))
 def service_json(spark, sf):
-    return GJ.service_json(_goal_graph(spark, sf), part_size=5000)
+    return GJ.service_json(_goal_graph(spark, sf), part_size=500)
 
 
 @query("read_graph_json_nodes", f"WITH {ORDER} SELECT graph_id, node_id, label, node_type, '' AS status FROM t_nodes")
 def read_graph_json_nodes(spark, sf):
-    g = GJ.read_graph_json(GJ.graph_json(_goal_graph(spark, sf), part_size=5000))
+    g = GJ.read_graph_json(GJ.graph_json(_goal_graph(spark, sf), part_size=500))
     return g.nodes.select("graph_id", "node_id", "label", "node_type", "status")
 
 

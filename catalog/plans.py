@@ -86,7 +86,6 @@ def linear_buckets(spark, sf):
     )
 
 
-LOOP_NODES = 450
 _ROUNDS = 2
 
 
@@ -97,7 +96,9 @@ def _scripted_loop(spark, sf):
     def expand(g: Graphs, iteration: int) -> Graphs:
         return steps[iteration - 1].only(g.graphs)
 
-    cfg = RunConfig(max_iterations=5, max_depth=_ROUNDS, limits=Limits(max_nodes=LOOP_NODES))
+    # halfway between the smallest and the largest graph: at every scale some halt and some grow
+    sizes = current.nodes.groupBy("graph_id").count().agg(F.min("count").alias("a"), F.max("count").alias("b")).first()
+    cfg = RunConfig(max_iterations=5, max_depth=_ROUNDS, limits=Limits(max_nodes=(sizes.a + sizes.b) // 2))
     return grow(current, expand, cfg)
 
 
@@ -116,9 +117,9 @@ stat{k} AS (
   FROM deg{k} n JOIN size{k} s USING (graph_id)),
 decision{k} AS (
   SELECT graph_id, {k} AS iteration, node_count,
-    CASE WHEN node_count >= {LOOP_NODES} THEN 'HALT' WHEN count(*) FILTER (status = 'LOOP') > 0 THEN 'CONTINUE'
+    CASE WHEN node_count >= (SELECT (min(k) + max(k)) // 2 FROM (SELECT count(*) AS k FROM cur0 GROUP BY graph_id)) THEN 'HALT' WHEN count(*) FILTER (status = 'LOOP') > 0 THEN 'CONTINUE'
          WHEN count(*) FILTER (status = 'HALT-ACCEPT') > 0 THEN 'HALT' ELSE 'DROP' END AS decision,
-    CASE WHEN node_count >= {LOOP_NODES} THEN 'max_nodes reached (' || node_count || ')' WHEN count(*) FILTER (status = 'LOOP') > 0 THEN 'ongoing_expansion'
+    CASE WHEN node_count >= (SELECT (min(k) + max(k)) // 2 FROM (SELECT count(*) AS k FROM cur0 GROUP BY graph_id)) THEN 'max_nodes reached (' || node_count || ')' WHEN count(*) FILTER (status = 'LOOP') > 0 THEN 'ongoing_expansion'
          ELSE 'all_nodes_terminal' END AS reason
   FROM stat{k} WHERE graph_id IN {alive} GROUP BY graph_id, node_count)""")
     rounds.append(

@@ -79,13 +79,13 @@ def expansion_frontier(spark, sf):
 @query(
     "graph_context",
     f"""WITH {SUPPLY},
-n AS (SELECT graph_id, ord // 100000 AS part, list(to_json({{'id': node_id, 'label': label, 'type': node_type, 'description': '',
+n AS (SELECT graph_id, list(to_json({{'id': node_id, 'label': label, 'type': node_type, 'description': '',
        'ablation_value': 0.0::DOUBLE, 'expanded': false, 'expandable': true}}) ORDER BY ord) AS nodes FROM nodes GROUP BY ALL),
-e AS (SELECT graph_id, ord // 100000 AS part, list(to_json({{'source': source, 'target': target, 'relation': relation}}) ORDER BY ord, source, target, relation) AS edges
+e AS (SELECT graph_id, list(to_json({{'source': source, 'target': target, 'relation': relation}}) ORDER BY ord, source, target, relation) AS edges
       FROM edges GROUP BY ALL)
-SELECT coalesce(n.graph_id, e.graph_id) AS graph_id, coalesce(n.part, e.part) AS part,
+SELECT coalesce(n.graph_id, e.graph_id) AS graph_id,
   '{{"goal":"","nodes":[' || coalesce(array_to_string(nodes, ','), '') || '],"edges":[' || coalesce(array_to_string(edges, ','), '') || ']}}' AS context
-FROM n FULL JOIN e ON n.graph_id = e.graph_id AND n.part = e.part""",
+FROM n FULL JOIN e ON n.graph_id = e.graph_id""",
 )
 def graph_context(spark, sf):
     return expansion.graph_context(supply_graph(spark, sf))
@@ -93,17 +93,15 @@ def graph_context(spark, sf):
 
 @query(
     "expansion_prompts",
-    """SELECT CAST(doc_id AS VARCHAR) AS graph_id, contains(p, text) AS has_goal, CAST(length(p) - length(text) > 50 AS BOOLEAN) AS has_rules
-FROM (SELECT doc_id, text, text || repeat('x', 60) AS p FROM documents)""",
+    r"""SELECT CAST(doc_id AS VARCHAR) AS graph_id,
+  E'Break the following goal down into a layered graph of subsystems and modules.\nGoal: ' || text
+  || E'\nUse at most 8 nodes, give each a clear label and a description, and name the relations between them.\n'
+  || 'Answer with JSON only: {"nodes": [{"id", "label", "description", "type": system | concept | entity}], "edges": [{"source", "target", "relation"}]}' AS prompt
+FROM documents""",
 )
 def expansion_prompts(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("graph_id"), "text")
-    prompt = expansion.goal_prompt("text")
-    return docs.select(
-        "graph_id",
-        F.contains(prompt, F.col("text")).alias("has_goal"),
-        (F.length(prompt) - F.length("text") > 50).alias("has_rules"),
-    )
+    return docs.select("graph_id", expansion.goal_prompt("text", 8).alias("prompt"))
 
 
 @query("expand_goals")

@@ -63,7 +63,7 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Graphs:
         (F.col("p_partkey") * 2 + 1).alias("ord"),
         F.col("p_name").alias("label"),
         F.lit("part").alias("node_type"),
-        (F.col("p_retailprice") / 2000).alias("score"),
+        ((F.col("p_retailprice") - 900) / 100).alias("score"),
     )
     nodes = sellers.unionByName(parts)
     nodes = nodes.withColumn("attrs", F.create_map(F.lit("score"), F.col("score").cast("string")))
@@ -89,7 +89,7 @@ nodes AS (
          s_name AS label, 'supplier' AS node_type, s_acctbal / 10000 AS score
   FROM supplier
   UNION ALL
-  SELECT graph_id, 'P' || p_partkey, p_partkey * 2 + 1, p_name, 'part', p_retailprice / 2000
+  SELECT graph_id, 'P' || p_partkey, p_partkey * 2 + 1, p_name, 'part', (p_retailprice - 900) / 100
   FROM placed JOIN part USING (p_partkey)),
 touch AS (
   SELECT graph_id, source AS node_id FROM edges
@@ -482,7 +482,7 @@ def fever_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 FEVER = r"""
 pages_ AS (
-  SELECT trim(url) AS title, max(left(trim(regexp_replace(html, '\n{3,}', E'\n\n', 'g'), E' \n\t\r'), 200000)) AS page FROM pages GROUP BY ALL),
+  SELECT trim(url) AS title, max(trim(regexp_replace(html, '\n{3,}', E'\n\n', 'g'), E' \n\t\r')) AS page FROM pages GROUP BY ALL),
 fever AS (
   SELECT d.doc_id AS idx, d.text AS claim, CASE quality WHEN 1 THEN 'SUPPORTS' WHEN 0 THEN 'REFUTES' END AS label, ' ' || url AS wiki,
          CAST(d.doc_id % 12 - 1 AS INTEGER) AS sid
@@ -492,7 +492,7 @@ looked AS (
     lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS s FROM fever f LEFT JOIN pages_ ON title = trim(wiki)),
 fever_samples AS (
   SELECT 'fever' AS dataset_id, 'train' AS split, idx AS "index", claim AS query, label, wiki, sid,
-    CASE WHEN page IS NOT NULL THEN CASE WHEN sid >= 0 AND sid < len(s) THEN s[sid + 1] WHEN length(page) > 400 THEN left(page, 400) || '...' ELSE page END END AS sentence, page
+    CASE WHEN page IS NOT NULL THEN CASE WHEN sid >= 0 AND sid < len(s) THEN s[sid + 1] ELSE page END END AS sentence, page
   FROM looked),
 fever_out AS (
   SELECT dataset_id, split, "index", query, label, coalesce(nullif(sentence, ''), nullif(page, ''), query) AS context,

@@ -35,7 +35,7 @@ def sentence_spans(spark, sf):
     "pick_sentence",
     r"""WITH parts AS (SELECT doc_id, text, list_filter(list_transform(
   string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \n')), lambda x: x <> '') AS p FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 50 < len(p) THEN p[doc_id % 50 + 1] WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END AS sentence FROM parts""",
+SELECT doc_id, CASE WHEN doc_id % 50 < len(p) THEN p[doc_id % 50 + 1] ELSE text END AS sentence FROM parts""",
 )
 def pick_sentence(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.pick_sentence("text", F.col("doc_id") % 50).alias("sentence"))
@@ -245,7 +245,7 @@ def extract_documents(spark, sf):
 @query(
     "extract_record_graphs",
     rf"""WITH {SENTENCES},
-f AS (SELECT CAST(doc_id AS VARCHAR) AS graph_id, i, CASE WHEN length(s) > 280 THEN rtrim(left(s, 280), E' \n') || '…' ELSE s END AS fact FROM sent WHERE i < 40),
+f AS (SELECT CAST(doc_id AS VARCHAR) AS graph_id, i, s AS fact FROM sent),
 w AS (SELECT graph_id, i, regexp_split_to_array(fact, '\s+') AS w FROM f),
 t AS (SELECT graph_id, i, w[1] AS head, w[-1] AS tail FROM w),
 seen AS (SELECT graph_id, head AS label, i * 2 AS place FROM t UNION ALL SELECT graph_id, tail, i * 2 + 1 FROM t),

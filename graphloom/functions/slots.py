@@ -36,18 +36,19 @@ def meta(key: str, default=None) -> Column:
 
 
 def put(slot: Column | str, kind: str = "string", **entries) -> Column:
-    """``slot`` with ``entries`` set; an existing key is replaced."""
+    """``slot`` with ``entries`` set; an existing key is replaced, a null slot counts as empty."""
     slot = F.col(slot) if isinstance(slot, str) else slot
     names = list(entries)
     pairs = [part for name in names for part in (F.lit(name), _col(entries[name]).cast(kind))]
+    slot = F.coalesce(slot, F.create_map().cast(f"map<string,{kind}>"))
     kept = F.map_filter(slot, lambda k, _v: ~k.isin(names))
     return F.map_concat(kept, F.create_map(*pairs))
 
 
 def merge(slot: Column, other: Column) -> Column:
-    """Both maps in one; keys of ``other`` win."""
+    """Both maps in one; keys of ``other`` win. A null map counts as empty, two give null."""
     kept = F.map_filter(slot, lambda k, _v: ~F.array_contains(F.map_keys(other), k))
-    return F.map_concat(kept, other)
+    return F.coalesce(F.map_concat(kept, other), slot, other)
 
 
 def put_state(df: DataFrame, values: Column) -> DataFrame:

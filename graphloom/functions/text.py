@@ -59,11 +59,11 @@ def split_sentences(col: Column | str, endings: str = "full") -> Column:
     return F.filter(F.transform(pieces, strip), lambda s: s != "")
 
 
-def pick_sentence(col: Column | str, index: Column | str) -> Column:
-    """Sentence number ``index``; without such a sentence the first 400 characters."""
+def pick_sentence(col: Column | str, index: Column | str, chars: int | None = None) -> Column:
+    """Sentence number ``index``; without such a sentence the text, or its first ``chars`` characters if given."""
     text = F.coalesce(_col(col), F.lit(""))
     number = F.coalesce(_col(index).try_cast("int"), F.lit(-1))
-    start = F.when(F.length(text) > 400, F.concat(F.substring(text, 1, 400), F.lit("..."))).otherwise(text)
+    start = text if chars is None else F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(text)
     return F.coalesce(F.when(number >= 0, F.get(split_sentences(text, "ascii"), number)), start)
 
 
@@ -75,11 +75,14 @@ def token_count(col: Column | str, fn: Callable[[pd.Series], pd.Series] | None =
     return F.size(F.array_remove(words, ""))
 
 
-def clamp_facts(facts: Column | str, count: int = 40, chars: int = 280) -> Column:
-    """The first ``count`` non-empty facts, each cut to ``chars`` characters with an ellipsis."""
+def clamp_facts(facts: Column | str, count: int | None = 40, chars: int | None = 280) -> Column:
+    """The first ``count`` non-empty facts, each cut to ``chars`` characters with an ellipsis; None: no limit."""
     clean = F.filter(F.transform(_col(facts), lambda f: strip(F.coalesce(f, F.lit("")))), lambda f: f != "")
+    first = clean if count is None else F.slice(clean, 1, count)
+    if chars is None:
+        return first
     short = F.transform(
-        F.slice(clean, 1, count),
+        first,
         lambda f: F.when(F.length(f) > chars, F.concat(rstrip(F.substring(f, 1, chars)), F.lit("…"))).otherwise(f),
     )
     return short

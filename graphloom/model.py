@@ -64,12 +64,15 @@ def _default(name: str, kind: str) -> Column:
 
 def _conform(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(name) if name in present else _default(name, kind)).cast(kind).alias(name)
-            for name, kind in fields.items()
-        ]
-    )
+
+
+    def column(name: str, kind: str) -> Column:
+        if name not in present:
+            return _default(name, kind).cast(kind)
+        given = F.col(name).cast(kind)
+        return F.coalesce(given, _default(name, kind).cast(kind)) if kind.startswith("map") else given
+
+    return df.select(*[column(name, kind).alias(name) for name, kind in fields.items()])
 
 
 def as_graphs(df: DataFrame) -> DataFrame:

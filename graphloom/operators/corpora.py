@@ -47,7 +47,6 @@ FIELDS = {
     },
 }
 WIKI_FIELDS = ["evidence_wiki_url", "evidence_sentence_id", "evidence_id", "evidence_annotation_id"]
-PAGE_CHARS = 200_000
 PREVIEW_CHARS = 240
 
 
@@ -78,9 +77,10 @@ def _field(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
 
 
-def wiki_pages(pages: DataFrame) -> DataFrame:
-    """Evidence pages ``(title, text)``: trimmed title, long gaps closed, one row per title."""
-    text = F.substring(strip(F.regexp_replace("text", "\n{3,}", "\n\n")), 1, PAGE_CHARS)
+def wiki_pages(pages: DataFrame, chars: int | None = None) -> DataFrame:
+    """Evidence pages ``(title, text)``: trimmed title, long gaps closed, one row per title; whole, or cut to ``chars``."""
+    text = strip(F.regexp_replace("text", "\n{3,}", "\n\n"))
+    text = text if chars is None else F.substring(text, 1, chars)
     clean = pages.select(strip("title").alias("title"), text.alias("text")).where("title <> ''")
     return clean.groupBy("title").agg(F.max("text").alias("text"))
 
@@ -115,7 +115,7 @@ def _fever(df: DataFrame, pages: DataFrame | None) -> tuple[DataFrame, dict[str,
     query, label = _pick(df, names["query"], " "), _pick(df, names["label"], None)
     given = _pick(df, names["context"], "\n")
     title = strip(_field(df, "evidence_wiki_url", "string"))
-    pointers = [_field(df, n, "string" if n == WIKI_FIELDS[0] else "int").alias(n) for n in WIKI_FIELDS]
+    pointers = [(F.col(n) if n in df.columns else F.lit(None).cast("string")).alias(n) for n in WIKI_FIELDS]
     rows = df.withColumns({"__title": title})
     if pages is None:
         rows = rows.withColumn("__page", F.lit(None).cast("string"))
@@ -123,7 +123,7 @@ def _fever(df: DataFrame, pages: DataFrame | None) -> tuple[DataFrame, dict[str,
         side = pages.select(F.col("title").alias("__title"), F.col("text").alias("__page"))
         rows = rows.join(side, "__title", "left")
     looked_up = F.nullif(given, F.lit("")).isNull() & F.col("__page").isNotNull()
-    sentence = F.when(looked_up, pick_sentence("__page", _field(df, "evidence_sentence_id", "int")))
+    sentence = F.when(looked_up, pick_sentence("__page", _field(df, "evidence_sentence_id", "string")))
     keep = {"ignoreNullFields": "false"}
     evidence = F.when(sentence.isNull(), F.to_json(F.struct(*pointers), keep)).otherwise(
         F.to_json(F.struct(*pointers, sentence.alias("evidence_text")), keep)
@@ -139,8 +139,9 @@ def _scifact(df: DataFrame, corpus: DataFrame | None, resolve_ids: bool) -> tupl
     quoted = _pick(df, names["evidence"], "\n")
     evidence = _pick(df, names["evidence"], None)
     cited = F.get("cited_doc_ids", F.lit(0)) if "cited_doc_ids" in df.columns else F.lit(None)
-    own = _field(df, "evidence_doc_id", "int")
-    doc_id = F.when(own > 0, own).otherwise(cited.cast("int"))
+    # ids may be text, also empty or no number: then the first cited one counts
+    own = _field(df, "evidence_doc_id", "string").try_cast("int")
+    doc_id = F.when(own > 0, own).otherwise(cited.try_cast("int"))
     rows = df.withColumn("__doc", F.when(doc_id > 0, doc_id))
     if corpus is None:
         rows = rows.withColumns({"__title": F.lit(None).cast("string"), "__lines": F.lit(None).cast("array<string>")})

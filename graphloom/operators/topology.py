@@ -197,7 +197,9 @@ def ordinals(
     coarse chunk, and only the coarse counts of a key meet in one place.
     """
     names = [f"__chunk{i}" for i in range(len(chunk))]
+    # a struct of nulls equals itself, so that rows with a null key are numbered like others
     marked = df.withColumns({"__coarse": coarse, **dict(zip(names, chunk, strict=True))})
+    whole, place = F.struct(*keys, "__coarse"), F.struct(*keys, "__coarse", *names)
 
     def before(count: str, part: list[str], by: list[str]) -> Column:
         window = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -208,13 +210,14 @@ def ordinals(
     starts = totals.withColumn("__start", before("__total", keys, ["__coarse"])).drop("__total")
     offsets = (
         counts.withColumn("__inner", before("__n", [*keys, "__coarse"], names))
-        .join(starts, [*keys, "__coarse"])
-        .select(*keys, "__coarse", *names, (F.col("__start") + F.col("__inner")).alias("__offset"))
+        .withColumn("__whole", whole)
+        .join(starts.select(whole.alias("__whole"), "__start"), "__whole")
+        .select(place.alias("__place"), (F.col("__start") + F.col("__inner")).alias("__offset"))
     )
     within = Window.partitionBy(*keys, "__coarse", *names).orderBy(*order)
     return (
-        marked.withColumn("__row", F.row_number().over(within))
-        .join(offsets, [*keys, "__coarse", *names])
+        marked.withColumns({"__row": F.row_number().over(within), "__place": place})
+        .join(offsets, "__place")
         .withColumn(out, F.col("__offset") + F.col("__row") - 1 + base)
-        .drop("__row", "__offset", "__coarse", *names)
+        .drop("__row", "__offset", "__place", "__coarse", *names)
     )

@@ -263,8 +263,8 @@ def extract_records(
     documents: DataFrame,
     relate: Callable[[pd.Series], pd.Series],
     obs_ts: Column,
-    max_facts: int = 40,
-    max_chars: int = 280,
+    max_facts: int | None = None,
+    max_chars: int | None = None,
 ) -> Graphs:
     """``documents(graph_id, text)`` → facts → ``relate`` in Arrow batches → triples → graphs.
 

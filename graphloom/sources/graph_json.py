@@ -1,16 +1,17 @@
 """Graphs as JSON: reader, writer, service form and display elements.
 
-A document holds the elements of ``floor(ord / part_size)``; an ordinary graph is one
-document, a huge one several, and the reader puts the parts together again.
+A document holds ``part_size`` elements of each kind, by their number in the graph; an ordinary graph
+is one document, a huge one several, and the reader puts the parts together again, in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import slots
 from graphloom.model import Graphs, as_edges, as_graphs, as_nodes, stable_id
+from graphloom.operators.topology import ordinals
 
 PART_SIZE = 100_000
 
@@ -29,9 +30,15 @@ def read_graph_json(df: DataFrame, col: str = "json") -> Graphs:
     """
     part = F.col("part") if "part" in df.columns else F.lit(0)
     doc = df.select(part.cast("bigint").alias("part"), F.from_json(col, DOCUMENT).alias("g"))
+    if "part" in df.columns:
+        before = Window.partitionBy("g.graph_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        count = lambda kind: F.coalesce(F.sum(F.greatest(F.size(f"g.{kind}"), F.lit(0))).over(before), F.lit(0))
+        doc = doc.withColumns({"nodes_before": count("nodes"), "edges_before": count("edges")})
+    else:
+        doc = doc.withColumns({"nodes_before": F.lit(0), "edges_before": F.lit(0)})
     graph_id = F.col("g.graph_id").alias("graph_id")
     empty = F.create_map()
-    order = (F.shiftleft(F.col("part"), 31) + F.col("pos")).alias("ord")
+    order = (F.col("before") + F.col("pos")).cast("bigint").alias("ord")
 
     def slot(name: str, kind: str = "string") -> Column:
         return F.coalesce(F.col(name), empty.cast(f"map<string,{kind}>"))
@@ -39,7 +46,7 @@ def read_graph_json(df: DataFrame, col: str = "json") -> Graphs:
     def without(name: str, *keys: str) -> Column:
         return F.map_filter(slot(name), lambda k, _v: ~k.isin(list(keys)))
 
-    rows = doc.select(graph_id, "part", F.posexplode("g.nodes").alias("pos", "n"))
+    rows = doc.select(graph_id, "part", F.col("nodes_before").alias("before"), F.posexplode("g.nodes").alias("pos", "n"))
     nodes = rows.select(
         "graph_id",
         F.col("n.id").alias("node_id"),
@@ -53,7 +60,7 @@ def read_graph_json(df: DataFrame, col: str = "json") -> Graphs:
         slot("n.metadata").alias("meta"),
         F.col("n.embedding").alias("embedding"),
     )
-    rows = doc.select(graph_id, "part", F.posexplode("g.edges").alias("pos", "e"))
+    rows = doc.select(graph_id, "part", F.col("edges_before").alias("before"), F.posexplode("g.edges").alias("pos", "e"))
     edges = rows.select(
         "graph_id",
         F.coalesce("e.id", stable_id("graph_id", "part", "pos", length=8)).alias("edge_id"),
@@ -79,8 +86,11 @@ def read_graph_json(df: DataFrame, col: str = "json") -> Graphs:
 
 def _packed(df: DataFrame, text: Column, name: str, part_size: int) -> DataFrame:
     """JSON entries joined per graph and part, by position and then by their own text."""
-    part = F.floor(F.col("ord") / part_size).alias("part")
-    entries = df.select("graph_id", part, F.struct("ord", text.alias("json")).alias("entry"))
+    entries = df.select("graph_id", "ord", text.alias("json"))
+    coarse, chunk = F.shiftright("ord", 40), F.shiftright("ord", 16)
+    numbered = ordinals(entries, ["graph_id"], coarse, [chunk], [F.col("ord"), F.col("json")], "number")
+    part = F.floor(F.col("number") / part_size).alias("part")
+    entries = numbered.select("graph_id", part, F.struct("ord", "json").alias("entry"))
     return entries.groupBy("graph_id", "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["json"]), ",").alias(name)
     )
