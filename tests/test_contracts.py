@@ -110,9 +110,12 @@ def test_workers_import_the_package_from_any_folder(tmp_path):
         from graphloom.functions.text import sentence_spans
         spark = build_session(master="local[2]", **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": {folder!r}}})
         print("spans", spark.createDataFrame([("One. Two.",)], "t string").select(sentence_spans("t")).first()[0][1].text)
+        spark.stop()
     """
     root = __file__.rsplit("/tests/", 1)[0]
     script = tmp_path / "run.py"
     script.write_text(textwrap.dedent(code.format(root=root, folder=str(tmp_path))))
-    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=200)
-    assert "spans Two." in done.stdout, done.stderr[-2000:]
+    # a file, not a pipe: processes that outlive the script would keep a pipe open
+    with open(tmp_path / "out", "w") as out:
+        subprocess.run([sys.executable, str(script)], cwd=tmp_path, stdout=out, stderr=out, timeout=150, check=False)
+    assert "spans Two." in (tmp_path / "out").read_text()
