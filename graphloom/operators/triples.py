@@ -245,13 +245,18 @@ def extract(
     decode: Callable[[pd.Series], pd.Series],
     cfg: WindowConfig = WindowConfig(),
     align_sentences: bool = True,
+    count_tokens: Callable[[list[str]], list[int]] | None = None,
 ) -> Graphs:
     """``documents(graph_id, text)`` → windows → ``decode`` in Arrow batches → merged triples → graphs.
 
-    ``decode`` is the caller's model: a batch of window texts to linearised triples.
+    ``decode`` is the caller's model: a batch of window texts to linearised triples. ``count_tokens`` measures
+    sentences in its tokens (words by default); windows of characters have a size of their own.
     """
-    split = sentence_windows if align_sentences else char_windows
-    windows = split(documents.select("graph_id", "text"), cfg)
+    texts = documents.select("graph_id", "text")
+    if align_sentences:
+        windows = sentence_windows(texts, cfg, count_tokens) if count_tokens else sentence_windows(texts, cfg)
+    else:
+        windows = char_windows(texts, cfg)
     model = F.pandas_udf(decode, "string")
     decoded = windows.select("graph_id", F.col("chunk_id").alias("window_idx"), "chunk_id", model("text").alias("text"))
     # Written once: a repeated task must not ask the model again.

@@ -79,6 +79,7 @@ def differences(spark_df, con, sql: str) -> str | None:
 def main(argv: list[str]) -> int:
     """``python tests/compare.py SF_DIR [name …]``: compare queries and print one line each."""
     import os
+    import tempfile
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
@@ -86,7 +87,7 @@ def main(argv: list[str]) -> int:
 
     spark = build_session(
         master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir, names = argv[0], argv[1:]

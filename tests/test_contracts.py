@@ -119,3 +119,34 @@ def test_workers_import_the_package_from_any_folder(tmp_path):
     with open(tmp_path / "out", "w") as out:
         subprocess.run([sys.executable, str(script)], cwd=tmp_path, stdout=out, stderr=out, timeout=150, check=False)
     assert "spans Two." in (tmp_path / "out").read_text()
+
+
+def test_run_takes_the_callers_parts(spark):
+    from graphloom.plans.loop import run
+    from graphloom.plans.run import RunConfig
+
+    inputs = spark.createDataFrame([("e1", "goal one", "Alpha beats beta. Gamma helps delta."), ("e2", "goal two", "One.")], "experiment_id string, goal string, text string")
+    decode = lambda t: t.map(lambda x: f"<triplet> {x.split()[0]} <subj> {x.split()[-1]} <obj> leads to")
+    generate = lambda p: p.map(lambda x: json.dumps({"nodes": [{"id": "n0", "label": "a"}, {"id": "n1", "label": "b"}], "edges": [{"source": "n0", "target": "n1"}]}))
+    embed = lambda nodes: nodes.withColumn("embedding", F.array(F.lit(1.0).cast("float"), F.length("label").cast("float")))
+    seen = []
+
+    def rename(g):
+        seen.append("processor")
+        return g.with_nodes(g.nodes.withColumn("label", F.upper("label")))
+
+    def decide(g, state):
+        seen.append("decide")
+        return g.graphs.select("graph_id", F.when(F.col("graph_id") == "e1", "CONTINUE").otherwise("HALT").alias("decision"), F.lit("own").alias("reason"))
+
+    def fusion(left, right):
+        seen.append("fusion")
+        return topology.union_graphs(left, right)
+
+    done = run(inputs, decode, generate, embed, RunConfig(max_iterations=2, max_depth=2), lambda texts: [len(t) for t in texts], fusion, [rename], decide)
+    assert seen == ["fusion", "processor", "decide", "decide"]
+    decisions = [(r.experiment_id, json.loads(r.details)["decision"]) for r in done.trace.where("action = 'halting_evaluation'").collect()]
+    assert sorted(decisions) == [("e1", "CONTINUE"), ("e1", "CONTINUE"), ("e2", "HALT")]
+    assert done.data().where("category LIKE 'log%'").count() == 2
+    assert {r.experiment_id for r in done.final_graph().collect()} == {"e1", "e2"}
+    assert done.stages["loop_2_increment"].graphs.count() == 1

@@ -57,7 +57,7 @@ def test_loop_freezes_graphs_that_halt(spark, tmp_path):
     assert {r.stage for r in run.stats.collect()} == {"LOOP_1", "LOOP_2", "LOOP_3"}
     # The record can be stored and read back.
     data = run.data()
-    assert {r.category for r in data.select("category").distinct().collect()} == {"graph", "trace", "metric", "metadata", "stats"}
+    assert {r.category for r in data.select("category").distinct().collect()} == {"graph", "trace", "metric", "metadata", "stats", "logs"}
     experiments = run.experiments(run.outcome.select("experiment_id"))
     results.publish(str(tmp_path), "r1", 1, experiments, data, run.node_rows())
     assert results.read_published(spark, str(tmp_path))["nodes"].count() == 70
