@@ -560,8 +560,8 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     blocks = _linked(_block_cells(groups, known, 2), docs, keys, sketch, size, percent)
     # rows of one doc_id are one node: their sets are linked too
     filled = keys.where("n > 0")
-    same = filled.groupBy("d").agg(F.min("k").alias("id1"), F.max("k").alias("id2"), F.collect_set("k").alias("ks")).where("id1 < id2 AND d < 9223372036854775807")
-    same = same.select("id1", F.explode("ks").alias("id2"))
+    several = filled.groupBy("d").agg(F.min("k").alias("id1"), F.max("k").alias("top")).where((F.col("id1") < F.col("top")) & (F.col("d") < LAST))
+    same = filled.join(several, "d").where("k <> id1").select("id1", F.col("k").alias("id2")).distinct()
     found = _components(stars.unionByName(blocks).unionByName(same))
     classed = keys.join(found, "k", "left").withColumn("c", F.coalesce("root", "k"))
     lowest = classed.where("n > 0").groupBy("c").agg(F.min("d").alias("m"))

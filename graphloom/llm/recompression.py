@@ -172,7 +172,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _single_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """``(name, print, d, h, s)``: the windows of the spans ``wanted(name, d, h, s, n)``, from the texts."""
-    asked = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("name", "s", "n")).alias("asked"))
+    asked = wanted.groupBy("d", "h").agg(F.collect_set(F.struct("name", "s", "n")).alias("asked"))
     asked = asked.select("d", "h", F.col("asked.name").alias("names"), F.col("asked.s").alias("starts"), F.col("asked.n").alias("counts"))
     texts = identified(docs).join(asked, ["d", "h"]).dropDuplicates(["d", "h"])
 

@@ -58,7 +58,8 @@ def remove_windows(docs: DataFrame, removed: DataFrame, window: int = WINDOW, ke
     Gives ``(doc_id, n_words, n_removed, kept_sha256)`` per row of ``docs``, or with ``kept`` all columns of
     ``docs`` with the kept words, joined by spaces, as ``text`` (unchanged where nothing is removed).
     """
-    ranges = removed.groupBy("d", "h").agg(F.collect_list(F.struct("s", "n")).alias("_ranges"))
+    # a set: repeated rows of a document bring their ranges once
+    ranges = removed.groupBy("d", "h").agg(F.collect_set(F.struct("s", "n")).alias("_ranges"))
     keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_h": F.xxhash64(F.col("text").cast("string"))})
     ranges = ranges.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("_ranges.s").alias("_s"), F.col("_ranges.n").alias("_n"))
     joined = keyed.join(ranges, ["_d", "_h"], "left").drop("_d", "_h")

@@ -84,7 +84,7 @@ SUFFIX = "name long, suffix binary, before binary, d long, h long, p int, s int,
 
 def _suffix_rows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """Rows of ``SUFFIX``: the words from each minimiser on, and those before it backwards, as far as its windows reach."""
-    asked = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("name", "p", "s", "n")).alias("a"))
+    asked = wanted.groupBy("d", "h").agg(F.collect_set(F.struct("name", "p", "s", "n")).alias("a"))
     asked = asked.select("d", "h", *[F.col(f"a.{c}").alias(f"{c}s") for c in ("name", "p", "s", "n")])
     texts = identified(docs).join(asked, ["d", "h"]).dropDuplicates(["d", "h"])
 
@@ -184,7 +184,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keys = cut(found.groupBy("name", "key").agg(F.min("d").alias("d0"), F.max("d").alias("d1")))
     whole = found.join(keys.where("d1 > d0"), ["name", "key"]).where("d > d0").select("d", "h", "s", "n")
     varied = keys.groupBy("name").agg(F.count(F.lit(1)).alias("keys"), F.min("d0").alias("m0"), F.max("d0").alias("m1")).where("keys > 1 AND m1 > m0").select("name", "keys")
-    first = cut(found.join(varied, "name").join(keys, ["name", "key"]).where("d = d0").dropDuplicates(["name", "key"]).select("name", "d", "h", "p", "s", "n", "keys"))
+    first = cut(found.join(varied, "name").join(keys, ["name", "key"]).where("d = d0").select("name", "d", "h", "p", "s", "n", "keys").distinct())
     sorted_ = _compared(_suffix_rows(docs, first.where(F.col("keys") <= GROUP), window), window)
     counted = cut(_single_windows(docs, first.where(F.col("keys") > GROUP).select("name", "d", "h", "s", "n"), window))
     lowest = counted.groupBy("name", "print").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d1 > d0")

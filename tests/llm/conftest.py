@@ -24,6 +24,7 @@ def messy_rows():
     rows += [(18, None), (19, ""), (20, " \t\n "), (21, "one two"), (22, "One  TWO"), (23, "alone"), (24, "x " * 150), (25, "x " * 60), (26, "a b " * 90), (27, "é ñ. 中文 — " * 20)]
     rows += [(28, " ".join(words(rng, 12_000) + passage)), (29, " ".join(passage + other)), (29, " ".join(passage + other)), (None, " ".join(passage)), (None, None), (None, " ".join(words(rng, 60)))]
     rows += [(30, " ".join(passage[:49])), (31, " ".join(passage[:50])), (32, "x\x00y " * 70), (33, " ".join(base).upper()), (34, "¿…? " * 3), (35, "42 !!")]
+    rows += [(50, " ".join(words(rng, 5) + passage[2:68] + words(rng, 9) + passage[2:68] + words(rng, 9) + passage[2:68]))]
     near = words(rng, 200)
     for i in range(36, 46):
         copy = list(near)
