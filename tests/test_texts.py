@@ -67,8 +67,10 @@ def test_pick_sentence(spark):
     long = "x" * 500
     rows = [("A b. C d! E", "1"), ("A b. C d! E", "9"), (long, "-1"), (long, None), ("A.", "no"), (None, "0"), ("", "0")]
     df = spark.createDataFrame(rows, "text string, n string")
-    got = [r.s for r in df.select(T.pick_sentence("text", "n").alias("s")).collect()]
+    got = [r.s for r in df.select(T.pick_sentence("text", "n", 400).alias("s")).collect()]
     assert got == ["C d!", "A b. C d! E", long[:400] + "...", long[:400] + "...", "A.", "", ""]
+    whole = [r.s for r in df.select(T.pick_sentence("text", "n").alias("s")).collect()]
+    assert whole == ["C d!", "A b. C d! E", long, long, "A.", "", ""]
 
 
 def test_clamp_facts(spark):
