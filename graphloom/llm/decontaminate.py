@@ -19,7 +19,6 @@ carried along under any name.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,8 +225,3 @@ def digest(found: DataFrame, report: str = "contamination") -> DataFrame:
         F.sha2(F.array_join(r.item_ids, ","), 256).alias("items_sha256"),
         (r.n_hit > 0).alias("contaminated"),
     )
-
-
-def items_digest(item_ids: list[str]) -> str:
-    """The digest of :func:`digest` for one document."""
-    return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()
