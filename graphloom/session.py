@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import importlib
 import os
 import tempfile
@@ -111,7 +112,27 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def free(*cuts: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote, once nothing reads them any more.
+
+    Spark's cleaner removes the shuffle files of finished jobs when their objects are collected as garbage;
+    asking for that here keeps a long operator's files from adding up until the driver happens to collect.
+    """
+    for df in cuts:
+        _delete(df.sparkSession, df._cut_path)
+    gc.collect()
+    for df in cuts[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_all(*frames: DataFrame) -> list[DataFrame]:
@@ -124,9 +145,7 @@ def cut_all(*frames: DataFrame) -> list[DataFrame]:
 
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the tables this application has cut; frames that still read them end here."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_cut_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _cut_folder(spark))
 
 
 def _cut_folder(spark: SparkSession) -> str:
