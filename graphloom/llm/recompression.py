@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.repeats import WINDOW, identified, remove_windows, window_hashes, window_starts
 from graphloom.llm.tokens import Words, column_of, int64s, join_hash, mix, slices
-from graphloom.session import cut
+from graphloom.session import cut, free
 
 ROUNDS = 14
 RUN_EVERY = 4
@@ -204,7 +204,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     single = cut(_single_windows(docs, first.select("name", "d", "h", "s", "n"), window))
     lowest = single.groupBy("name", "print").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d1 > d0")
     parts = single.join(lowest, ["name", "print"]).where("d > d0").select("d", "h", "s", F.lit(1).alias("n"))
-    return whole.unionByName(parts)
+    # written, so that the tables behind it need not wait for the texts to move
+    out = cut(whole.unionByName(parts))
+    free(found, keys, single)
+    return out
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.recompression import _signed, _single_windows, _span_keys
 from graphloom.llm.repeats import WINDOW, identified, remove_windows, window_hashes, window_starts
 from graphloom.llm.tokens import Words, column_of, grams, int64s, join_hash, slices
-from graphloom.session import cut
+from graphloom.session import cut, free
 
 GRAM = 10
 GROUP = 2_000
@@ -189,7 +189,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counted = cut(_single_windows(docs, first.where(F.col("keys") > GROUP).select("name", "d", "h", "s", "n"), window))
     lowest = counted.groupBy("name", "print").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d1 > d0")
     hot = counted.join(lowest, ["name", "print"]).where("d > d0").select("d", "h", "s", F.lit(1).alias("n"))
-    return whole.unionByName(sorted_).unionByName(hot)
+    # written, so that the tables behind it need not wait for the texts to move
+    out = cut(whole.unionByName(sorted_).unionByName(hot))
+    free(found, keys, first, counted)
+    return out
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
