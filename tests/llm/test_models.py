@@ -281,6 +281,37 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert all(r.accepted == (r.perplexity is not None) for r in no_trust)
 
 
+def test_model_runs_over_words(spark):
+    import pyarrow as pa
+
+    texts = ["abra cadabra a abra", "banana band a b ban", "cab  cabs\nabba", None, " "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    scorer = quality.Scorer(quality.kneser_ney(quality.gram_counts(df, of="across")).toArrow(), of="across")
+    joined = lambda t: b"\x02".join((t or "").encode().split())
+    text = plain_kneser_ney([joined(t).decode() for t in texts if joined(t)], quality.ORDER)
+    asked = ["abra band", "band abra", "a a a", "", None, "zebra"]
+    logp, n = scorer.texts(pa.array(asked))
+    for t, got, size in zip(asked, logp, n, strict=True):
+        assert size == sum(len(w) + 1 for w in (t or "").split())
+        assert got == pytest.approx(text(joined(t)) if joined(t) else 0, rel=1e-9)
+    assert logp[0] != pytest.approx(logp[1])
+
+
+def test_quality_rejects_planted_words_and_repetition(spark):
+    rng = random.Random(6)
+    parts = ["ba", "lo", "mi", "ne", "ru", "to", "sa", "ke"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randrange(2, 4)))
+    clean = lambda: [word() for _ in range(rng.randrange(70, 200))]
+    rows = [(i, clean()) for i in range(600)]
+    rows += [(i, w[:40] + ["wqyfxg"] + w[40:]) for i in range(1_000, 1_020) for w in [clean()]]
+    rows += [(i, [word()] * 150) for i in range(2_000, 2_020)] + [(i, [a, b] * 75) for i in range(2_020, 2_030) for a, b in [(word(), word())]]
+    docs = spark.createDataFrame([(i, " ".join(w), "aa") for i, w in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(480)] + [(i, 1, 1) for i in range(1_000, 1_010)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.accepted(docs, labels).select("doc_id").collect()}
+    assert sum(i < 600 for i in kept) >= 0.97 * 600
+    assert not [i for i in kept if i >= 1_000]
+
+
 # --- pseudo-likelihood ------------------------------------------------------------------------
 
 
