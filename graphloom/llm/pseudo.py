@@ -1,14 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token from both sides.
 
-The vocabulary is counted over all documents: the most frequent words have an id each, the others share
-``REST`` hashed ids. A token is predicted from the ``SIDE`` tokens before and behind it (it is itself masked):
-their embeddings, weighted by position, go through a tanh layer, then a softmax over groups of ids and one over
-the ids of the group. A document's score is the sum of the conditional log-probabilities of its tokens.
+The vocabulary is counted over all documents: the most frequent words have an id each. A token is predicted from the
+``SIDE`` tokens before and behind it (it is itself masked): their embeddings, weighted by position, go through a
+tanh layer, then a softmax over groups of ids and one over the ids of the group. The other words, however many,
+share the ids of the last groups, by hash, as neighbours and in training; as a token such a word has the probability of these groups
+together, times that of its spelling: an interpolated Kneser-Ney model of the byte n-grams (order ``SPELLING``) of all such
+words of all documents, which leaves mass to words never seen. A document's score is the sum of the conditional
+log-probabilities of its tokens.
 
 Training is stochastic gradient descent in numpy inside the tasks: from common weights, each task learns
-on every document it holds (on the positions that a hash of the round picks) and the weights of all tasks
-are averaged by the number of tokens, over ``ROUNDS`` rounds. Sums go by weight block through a two-level
-tree, so the driver receives one set of weights however many tasks there are.
+on every document it holds and the weights of all tasks are averaged by the number of tokens, over ``ROUNDS``
+rounds. A hash deals the positions to the rounds, so every token is predicted once. Sums go by weight block
+through a two-level tree, so the driver receives one set of weights however many tasks there are.
 
 Defined results: a text without words, or null, has 0 tokens, score 0 and a null mean; a window reaches
 over a text's ends as padding; repeated rows get equal scores; ties in the vocabulary go to the smaller hash;
@@ -26,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.quality import Scorer, gram_counts, kneser_ney
+from graphloom.llm.subwords import DistinctWords
 from graphloom.llm.tokens import Words, column_of, mix, slices
 from graphloom.session import cut
 
@@ -35,8 +40,8 @@ GROUP = 32
 WIDTH = 16
 SIDE = 2
 ROUNDS = 2
-PICK = 16
-BATCH = 512
+BATCH = 2048
+SPELLING = 3
 RATE = 0.5
 BLOCKS = 16
 LANES = 32
@@ -66,6 +71,7 @@ class Tokens:
         self.ids = np.arange(len(words))
         order = np.argsort(words)
         self.sorted, self.id_of = words[order], order
+        self.spelling: Scorer | None = None
 
     def of(self, words: Words) -> np.ndarray:
         h = words.hashes
@@ -75,6 +81,11 @@ class Tokens:
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, self.id_of[at], rest)
 
+    def read(self, column: pa.Array) -> tuple[DistinctWords, np.ndarray]:
+        """The distinct words of a column, and a mask of the words without an id of their own."""
+        words = DistinctWords(column, "lower")
+        return words, self.of(words.words) >= IDS - REST
+
     @staticmethod
     def context(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ids around the positions ``at``; ``IDS`` beyond a text's ends."""
@@ -143,6 +154,11 @@ class Network:
                 out[own] += z[np.arange(len(own)), inner[own]] - _logsum(z)
         return out
 
+    def log_rest(self, context: np.ndarray) -> np.ndarray:
+        """Log-probability that a word without an id of its own stands there."""
+        z = self.hidden(context) @ self.group + self.group_bias
+        return _logsum(z[:, (IDS - REST) // GROUP :]) - _logsum(z)
+
     def learn(self, ids: np.ndarray, context: np.ndarray, rate: float) -> None:
         """One step of gradient descent on a batch."""
         n = len(ids)
@@ -167,7 +183,9 @@ class Network:
         self.bias -= rate / n * back.sum(0)
         for j in range(2 * SIDE):
             e = self.embedding[context[:, j]]
-            np.add.at(self.embedding, context[:, j], -rate / n * 16 * back * self.position[j])
+            order = np.argsort(context[:, j], kind="stable")
+            near, head = np.unique(context[order, j], return_index=True)
+            self.embedding[near] -= rate / n * 16 * np.add.reduceat(back[order], head) * self.position[j]
             self.position[j] -= rate / n * (back * e).sum(0)
 
 
@@ -191,11 +209,19 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Tokens, Network]:
     by_id[IDS - REST :] = np.maximum(rest - taken, 0)
     tokens, network = Tokens(words), Network.start(by_id)
     for number in range(rounds if len(words) else 0):
-        network = Network(_averaged(docs, tokens, network, number, RATE / (1 + number)))
+        network = Network(_averaged(docs, tokens, network, number, rounds, RATE / (1 + number)))
+    tokens.spelling = Scorer(kneser_ney(cut(gram_counts(docs, SPELLING, read=tokens.read)), SPELLING).toArrow(), SPELLING)
     return tokens, network
 
 
-def _averaged(docs: DataFrame, tokens: Tokens, network: Network, number: int, rate: float) -> np.ndarray:
+def positions(words: Words, number: int, rounds: int) -> np.ndarray:
+    """The positions of a round in mixed order; each position is in one of the rounds."""
+    inside = np.arange(len(words.hashes)) - np.repeat(words.first[:-1], words.counts)
+    picked = np.flatnonzero((mix(words.hashes + inside.astype(np.uint64)) + np.uint64(number)) % np.uint64(rounds) == 0)
+    return picked[np.argsort(mix(picked.astype(np.uint64)))]
+
+
+def _averaged(docs: DataFrame, tokens: Tokens, network: Network, number: int, rounds: int, rate: float) -> np.ndarray:
     held = docs.sparkSession.sparkContext.broadcast((tokens, network.flat))
     size = -(-Network.SIZE // BLOCKS)
 
@@ -205,9 +231,7 @@ def _averaged(docs: DataFrame, tokens: Tokens, network: Network, number: int, ra
         for batch in slices(batches):
             words = Words(column_of(batch, "text"), "lower")
             ids = tokens.of(words)
-            inside = np.arange(len(ids)) - np.repeat(words.first[:-1], words.counts)
-            picked = np.flatnonzero((mix(words.hashes + inside.astype(np.uint64)) + np.uint64(number)) % np.uint64(PICK) == 0)
-            picked = picked[np.argsort(mix(picked.astype(np.uint64)))]
+            picked = positions(words, number, rounds)
             for at in range(0, len(picked), BATCH):
                 some = picked[at : at + BATCH]
                 own.learn(ids[some], tokens.context(ids, words.first, some), rate * len(some) / BATCH)
@@ -243,11 +267,16 @@ def score(docs: DataFrame, model: tuple[Tokens, Network]) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, network = held.value[0], Network(held.value[1])
         for batch in slices(batches):
-            words = Words(column_of(batch, "text"), "lower")
+            distinct, rest = tokens.read(column_of(batch, "text"))
+            words = distinct.words
             ids, logp = tokens.of(words), np.zeros(len(words.hashes))
+            if len(ids):
+                logp[rest] = np.add.reduceat(tokens.spelling.bytes(distinct), distinct.start[:-1])[distinct.index[rest]]
             for at in range(0, len(ids), 65_536):
                 some = np.arange(at, min(at + 65_536, len(ids)))
+                other, some = some[rest[some]], some[~rest[some]]
                 logp[some] = network.log_probability(ids[some], tokens.context(ids, words.first, some))
+                logp[other] += network.log_rest(tokens.context(ids, words.first, other))
             total = np.concatenate([[0.0], np.cumsum(logp)])
             sums, n = total[words.first[1:]] - total[words.first[:-1]], words.counts
             mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)

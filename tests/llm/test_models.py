@@ -356,3 +356,24 @@ def test_training_learns_order(spark):
     assert rows[0] > rows[100] + 0.3
     empty = docs.limit(0)
     assert pseudo.score(empty, pseudo.train(empty)).count() == 0
+
+
+def test_unknown_words_cost_more_than_known_ones(spark):
+    rng = random.Random(4)
+    common = [f"w{i}" for i in range(300)]
+    rare = lambda: "".join(rng.choices("aeioulmnrst", k=7))
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(common, k=60) + [rare() for _ in range(70)])) for i in range(60)], "doc_id long, text string")
+    model = pseudo.train(docs)
+    texts = [(1, " ".join(rng.choices(common, k=50))), (2, " ".join(rare() for _ in range(50))), (3, " ".join("".join(rng.choices("#$%&@!", k=7)) for _ in range(50)))]
+    mean = {r.doc_id: r.mean_log_probability for r in pseudo.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert mean[1] > mean[2] + 3 > mean[3] + 6
+
+
+def test_every_position_is_learned_from():
+    import pyarrow as pa
+    from graphloom.llm.tokens import Words
+
+    words = Words(pa.array(["a b c d e", None, "f " * 3_000, *[f"t{i} u v w x" for i in range(200)]]), "lower")
+    for rounds in (pseudo.ROUNDS, 3):
+        every = np.concatenate([pseudo.positions(words, number, rounds) for number in range(rounds)])
+        assert sorted(every.tolist()) == list(range(4_005))
