@@ -183,15 +183,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = cut(find_spans(docs, window))
     keys = cut(found.groupBy("name", "key").agg(F.min("d").alias("d0"), F.max("d").alias("d1")))
     whole = found.join(keys.where("d1 > d0"), ["name", "key"]).where("d > d0").select("d", "h", "s", "n")
-    varied = keys.groupBy("name").agg(F.count(F.lit(1)).alias("keys"), F.min("d0").alias("m0"), F.max("d0").alias("m1")).where("keys > 1 AND m1 > m0").select("name", "keys")
-    first = cut(found.join(varied, "name").join(keys, ["name", "key"]).where("d = d0").select("name", "d", "h", "p", "s", "n", "keys").distinct())
-    sorted_ = _compared(_suffix_rows(docs, first.where(F.col("keys") <= GROUP), window), window)
-    counted = cut(_single_windows(docs, first.where(F.col("keys") > GROUP).select("name", "d", "h", "s", "n"), window))
+    varied = keys.groupBy("name").agg(F.count(F.lit(1)).alias("keys"), F.min("d0").alias("m0"), F.max("d0").alias("m1")).where("keys > 1 AND m1 > m0").select("name")
+    first = cut(found.join(varied, "name").join(keys, ["name", "key"]).where("d = d0").select("name", "d", "h", "p", "s", "n").distinct())
+    # rows, not keys: one document may have a key at any number of places
+    many = cut(first.groupBy("name").count().where(F.col("count") > GROUP).select("name"))
+    sorted_ = _compared(_suffix_rows(docs, first.join(many, "name", "left_anti"), window), window)
+    counted = cut(_single_windows(docs, first.join(many, "name", "left_semi").select("name", "d", "h", "s", "n"), window))
     lowest = counted.groupBy("name", "print").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d1 > d0")
     hot = counted.join(lowest, ["name", "print"]).where("d > d0").select("d", "h", "s", F.lit(1).alias("n"))
     # written, so that the tables behind it need not wait for the texts to move
     out = cut(whole.unionByName(sorted_).unionByName(hot))
-    free(found, keys, first, counted)
+    free(found, keys, first, many, counted)
     return out
 
 

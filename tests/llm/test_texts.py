@@ -1,5 +1,6 @@
 """Operators on texts against plain versions, over messy rows and empty tables."""
 
+import random
 from collections import Counter
 
 import brute
@@ -40,6 +41,21 @@ def test_hot_minimisers_are_counted_to_the_same_rows(docs, rows, monkeypatch):
     same(suffixes.digest(docs), brute.removed_words(rows))
 
 
+def test_many_places_of_one_key_are_not_sorted_together(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(1, " ".join(["x"] * 3_000))] + [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(40)] + ["x"] * 45 + [f"w{rng.randrange(10**6)}" for _ in range(40)])) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows_of, sizes = suffixes._suffix_rows, []
+
+    def counted(docs, wanted, window):
+        sizes.extend(r["count"] for r in wanted.groupBy("name").count().collect())
+        return rows_of(docs, wanted, window)
+
+    monkeypatch.setattr(suffixes, "_suffix_rows", counted)
+    same(suffixes.digest(docs), brute.removed_words(rows))
+    assert max(sizes, default=0) <= suffixes.GROUP
+
+
 def test_suffixes_in_small_pieces(docs, rows, monkeypatch):
     monkeypatch.setattr(suffixes, "ROWS", 3)
     same(suffixes.digest(docs), brute.removed_words(rows))
