@@ -548,8 +548,8 @@ def _block_cells(members: DataFrame, components: DataFrame, least: int) -> DataF
     return stored.select("cell", F.lit(False).alias("probe"), "k", "c").unionByName(probes.select("cell", F.lit(True).alias("probe"), "k", "c"))
 
 
-def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``(d, h, n, component)`` of every row of ``docs``."""
+def _classed(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``keys`` with the class ``c`` of their linked sets."""
     keys = cut(set_keys(docs, size))
     members, sketch = candidate_groups(docs, size, percent)
     members = cut(members)
@@ -563,7 +563,12 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     several = filled.groupBy("d").agg(F.min("k").alias("id1"), F.max("k").alias("top")).where((F.col("id1") < F.col("top")) & (F.col("d") < LAST))
     same = filled.join(several, "d").where("k <> id1").select("id1", F.col("k").alias("id2")).distinct()
     found = _components(stars.unionByName(blocks).unionByName(same))
-    classed = keys.join(found, "k", "left").withColumn("c", F.coalesce("root", "k"))
+    return keys.join(found, "k", "left").withColumn("c", F.coalesce("root", "k"))
+
+
+def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``(d, h, n, component)`` of every row of ``docs``."""
+    classed = _classed(docs, size, percent)
     lowest = classed.where("n > 0").groupBy("c").agg(F.min("d").alias("m"))
     lone = classed.where("n = 0").select("d", "h", "n", F.col("d").alias("component"))
     return classed.where("n > 0").join(lowest, "c").select("d", "h", "n", F.col("m").alias("component")).unionByName(lone)
@@ -579,7 +584,14 @@ def digest(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with the smallest ``doc_id`` of their component; of equal rows of one id, each stays."""
-    keep = components(docs, size, percent).where("d = component").select(F.col("d").alias("_d"), F.col("h").alias("_h")).distinct()
+    """One row of ``docs`` for each component: that with the smallest ``doc_id`` (null last), then text hash; of equal rows any.
+
+    Texts without words are alone: one row for each of their ids, and without an id one for each text.
+    """
+    classed = _classed(docs, size, percent)
+    least = F.min(F.struct("d", "h")).alias("_k")
+    one = classed.where("n > 0").groupBy("c").agg(least).select("_k.d", "_k.h")
+    lone = classed.where("n = 0").groupBy("d", F.when(F.col("d") == LAST, F.col("h")).alias("own")).agg(least).select("_k.d", "_k.h")
+    keep = one.unionByName(lone).select(F.col("d").alias("_d"), F.col("h").alias("_h")).distinct()
     keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_h": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(keep, ["_d", "_h"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(keep, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -96,6 +96,13 @@ def test_representatives(docs, rows):
     assert {(r.doc_id, r.text) for r in kept.collect()} == expected
 
 
+def test_one_row_of_each_group(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, a + " x"), (2, a), (None, b), (None, b), (None, b + " y"), (3, ""), (3, "")]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or " ")[:1]) for r in kept) == [(0, "b"), (1, "a"), (3, " ")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=20), min_size=2, max_size=12), st.sampled_from([50, 80, 100]))
 def test_trie_finds_every_link(sets, percent):
