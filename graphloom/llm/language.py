@@ -31,7 +31,6 @@ BUCKETS = 1 << 13
 WIDTH = 16
 GRAMS = (2, 3, 4)
 PER_LANGUAGE = 600
-TEXT_LIMIT = 1_000_000
 EPOCHS = 40
 PRECISION = 0.999
 UNKNOWN = "und"
@@ -83,7 +82,6 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _training_rows(docs: DataFrame, per_language: int) -> DataFrame:
     """``(lang, bucket, weight)`` lists of the sampled texts."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.where(F.length("text") <= TEXT_LIMIT)
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).drop("r")
 

@@ -184,6 +184,12 @@ def test_language_without_labels_or_rows(spoken):
     assert language.identify(spoken, model).count() == spoken.count()
 
 
+def test_language_of_long_texts_only(spark):
+    rows = [(i, "the thing other " * 3, "aa") for i in range(30)] + [(i, "szyczk " * 150_000, "zz") for i in range(30, 34)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), epochs=2)
+    assert model.languages == ["aa", "zz"]
+
+
 def test_held_out_labels_are_not_learned_from(spoken):
     wrong = spoken.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
     assert "zz" not in language.train(wrong).languages
