@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +70,23 @@ def canonical_ids(nodes: DataFrame, components: DataFrame) -> DataFrame:
         .join(components, ["graph_id", "node_id"], "left")
         .select("graph_id", "node_id", F.coalesce("root", "node_id").alias("canonical_id"))
     )
+
+
+def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after linking rows ``a`` with rows ``b``; a label is the lowest row of its group."""
+    while len(a):
+        x, y = labels[a], labels[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        low, high = np.minimum(x, y)[open_], np.maximum(x, y)[open_]
+        target = np.arange(len(labels))
+        np.minimum.at(target, high, low)
+        while True:
+            shorter = target[target]
+            if np.array_equal(shorter, target):
+                break
+            target = shorter
+        labels = target[labels]
+    return labels
