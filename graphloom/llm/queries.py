@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, jaccard, language, neighbours, pieces, pseudo, quality, recompression, suffixes, warc
+from graphloom.llm import decontaminate, filters, jaccard, language, neighbours, pieces, pseudo, quality, recompression, suffixes, warc
 from graphloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from graphloom.llm.tables import documents, table
 from graphloom.session import checkpoint_dir
@@ -131,3 +131,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sparse_suffix_dedup", _REPEATS)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(documents(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op12_filter_interactions",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (
+    SELECT doc_id, part,
+           (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+           + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+           + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > first)::INT AS m
+    FROM w
+),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+    SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[:step])::INT - bits[step] AS before FROM o, unnest(generate_series(1, 5)) AS u(step)),
+r AS (
+    SELECT part, filter_order, step, bit,
+           sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN m & before <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
