@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, filters, jaccard, language, neighbours, pieces, pseudo, quality, recompression, suffixes, warc
+from graphloom.llm import alignment, decontaminate, filters, jaccard, language, neighbours, pieces, pivots, pseudo, quality, recompression, suffixes, warc
 from graphloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from graphloom.llm.tables import documents, table
 from graphloom.session import checkpoint_dir
@@ -171,3 +171,13 @@ FROM r
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query("op11_pivot_permutation_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
