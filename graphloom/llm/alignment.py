@@ -20,6 +20,7 @@ best; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,8 @@ from graphloom.session import cut, spread
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+STEP = 4096
 
 SLICED = "slice long, doc_id array<long>, chunks array<int>, chunk array<int>, a array<int>, a_n array<int>, b array<int>, b_n array<int>, pair array<long>, times array<long>"
 LINKS = "doc_id long, a array<int>, b array<int>, a_group array<int>, b_group array<int>, link_a array<int>, link_b array<int>, link_count array<long>, link_best array<boolean>"
@@ -200,9 +202,13 @@ def align_chunks(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray,
 
 
 def _tokenized(side, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids = side.encode(chunks)
-    n = np.array([len(x) for x in ids], np.int64)
-    return np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())), n
+    """Ids of all chunks and how many each has; a tokenizer's own objects live for a few chunks only."""
+    ids, n = [], []
+    for at in range(0, len(chunks), STEP):
+        made = side.encode(chunks[at : at + STEP])
+        n.append(np.fromiter(map(len, made), np.int64, len(made)))
+        ids.append(np.fromiter(itertools.chain.from_iterable(made), np.int64, int(n[-1].sum())))
+    return np.concatenate(ids), np.concatenate(n)
 
 
 def data_of(values: pa.Array) -> tuple[bytes, np.ndarray]:

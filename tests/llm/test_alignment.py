@@ -100,7 +100,7 @@ def same(made, want):
     assert Counter({k[:-1]: n for k, n in rest.items()}) == long
 
 
-@pytest.mark.parametrize("size", [4 << 20, 300])
+@pytest.mark.parametrize("size", [alignment.SLICE_BYTES, 300])
 def test_digest(spark, texts, size):
     want, _ = plain(texts)
     made = alignment.align(frame(spark, texts).repartition(3), digest=True, size=size)
