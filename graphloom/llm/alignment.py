@@ -10,7 +10,8 @@ there into chunks (a group never crosses such a cut either). A slice of document
 sequence of chunk numbers: a chunk is tokenized and aligned once per slice. A tokenizer whose vocabulary could
 join chunks is given whole texts.
 
-Counts of id pairs are summed up over all slices, and each slice gets back only the counts of its own pairs.
+Counts of id pairs are summed up over all slices, and each slice gets back only the counts of its own pairs. A slice is
+written as many small rows: its chunks and its pairs in blocks, then one row per document.
 
 Defined results: null and empty texts, and texts whose tokens of A or of B do not spell ``space + text``, have no tokens; texts of
 any length are one row; repeated rows give repeated results and count each time; ties for the best partner are all
@@ -40,7 +41,9 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE_BYTES = 2 << 20
 STEP = 4096
 
-SLICED = "slice long, doc_id array<long>, chunks array<int>, chunk array<int>, a array<int>, a_n array<int>, b array<int>, b_n array<int>, pair array<long>, times array<long>"
+#: Kinds of rows of a slice, in the order in which they are read again: ``at`` is the number of a row's first chunk, pair or document.
+CHUNKS, PAIRS, DOCUMENT = range(3)
+SLICED = "slice long, kind int, at int, doc_id long, chunk array<int>, a array<int>, a_n array<int>, b array<int>, b_n array<int>, pair array<long>, times array<long>"
 LINKS = "doc_id long, a array<int>, b array<int>, a_group array<int>, b_group array<int>, link_a array<int>, link_b array<int>, link_count array<long>, link_best array<boolean>"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -187,6 +190,7 @@ class Aligned:
     link_b: np.ndarray
     link_at: np.ndarray
     pair: np.ndarray
+    texts: list[bytes] | None = None
 
 
 def align_chunks(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray, left, right) -> Aligned:
@@ -273,8 +277,26 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(_bounds(np.array([len(r) for r in rows])).astype(np.int32)), pa.array(np.concatenate(rows) if rows else [], kind))
 
 
+def _rows(number: int, kind: int, at: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of one kind of a slice; the columns of other kinds are null."""
+    n = len(at)
+    made = {"slice": pa.array(np.full(n, number, np.int64)), "kind": pa.array(np.full(n, kind, np.int32)), "at": pa.array(at.astype(np.int32)), **columns}
+    types = {"doc_id": pa.int64(), "pair": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
+    names = [x.split()[0] for x in SLICED.split(", ")]
+    return pa.RecordBatch.from_arrays([made[x] if x in made else pa.nulls(n, types.get(x, pa.list_(pa.int32()))) for x in names], names)
+
+
+def _split(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list per stretch between bounds."""
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
+
+
+def _blocks(n: int) -> np.ndarray:
+    return np.append(np.arange(0, n, STEP), n)
+
+
 def sliced(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, size: int = SLICE_BYTES) -> DataFrame:
-    """One row per slice of documents: its different chunks with their tokens, and the id pairs that its links hold."""
+    """Per slice of documents its different chunks with their tokens, the id pairs that its links hold, and each document's chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = tokenizers(a, b)
@@ -286,13 +308,13 @@ def sliced(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, size: int = SL
             pair, place = np.unique(found.pair, return_inverse=True)
             weight = np.zeros(len(pair), np.int64)
             np.add.at(weight, place, np.repeat(times, np.diff(found.link_at)))
-            ids = column_of(part, "doc_id")
-            numbers = [per_text, chunk, a_ids, a_n, b_ids, b_n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(pa.int64()))]
-                + [_lists([x.astype(np.int32)], pa.int32()) for x in numbers] + [_lists([pair], pa.int64()), _lists([weight], pa.int64())],
-                ["slice", "doc_id", "chunks", "chunk", "a", "a_n", "b", "b_n", "pair", "times"],
-            )
+            at = _blocks(len(a_n))
+            lists = {"a": (a_ids, _bounds(a_n)[at]), "a_n": (a_n, at), "b": (b_ids, _bounds(b_n)[at]), "b_n": (b_n, at)}
+            yield _rows(number, CHUNKS, at[:-1], **{k: _split(x.astype(np.int32), y, pa.int32()) for k, (x, y) in lists.items()})
+            at = _blocks(len(pair))
+            yield _rows(number, PAIRS, at[:-1], pair=_split(pair, at, pa.int64()), times=_split(weight, at, pa.int64()))
+            ids = column_of(part, "doc_id").cast(pa.int64())
+            yield _rows(number, DOCUMENT, np.arange(len(ids)), doc_id=ids, chunk=_split(chunk.astype(np.int32), _bounds(per_text), pa.int32()))
             number += 1
 
     rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -314,13 +336,41 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 def pair_counts(slices_: DataFrame) -> DataFrame:
     """``(pair, count, best)``: links of all documents that hold a pair of ids (``a << 32 | b``), and whether no A id meets the B id more often."""
-    each = slices_.select(F.explode(F.arrays_zip("pair", "times")).alias("p")).select("p.pair", "p.times")
+    each = slices_.where(F.col("kind") == PAIRS).select(F.explode(F.arrays_zip("pair", "times")).alias("p")).select("p.pair", "p.times")
     counts = cut(each.groupBy("pair").agg(F.sum("times").alias("count")))
     other = (F.col("pair").bitwiseAND(0xFFFFFFFF)).alias("b")
     top = counts.groupBy(other).agg(F.max("count").alias("most"))
     return counts.withColumn("b", other).join(top, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
+class _Slice:
+    """What the rows of a slice have given so far."""
+
+    def __init__(self, left, right):
+        self.sides, self.parts, self.known, self.found = (left, right), {x: [] for x in ("a", "a_n", "b", "b_n")}, [], None
+
+    def add(self, kind: int, rows: pa.RecordBatch) -> None:
+        if kind == CHUNKS:
+            for name, held in self.parts.items():
+                held.append(column_of(rows, name).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        else:
+            self.known.append(column_of(rows, "known").flatten())
+
+    def ready(self) -> tuple[Aligned, np.ndarray, np.ndarray]:
+        """The aligned chunks, and for each link the count of its pair and whether that is the best."""
+        if self.found is None:
+            none = np.zeros(0, np.int64)
+            found = align_chunks(*(np.concatenate([none, *x]) for x in self.parts.values()), *self.sides)
+            pair, place = np.unique(found.pair, return_inverse=True)
+            count, best = np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
+            for given in self.known:
+                at = given.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
+                count[at] = given.field("count").to_numpy(zero_copy_only=False)
+                best[at] = given.field("best").to_numpy(zero_copy_only=False)
+            self.found = found, count[place], best[place]
+        return self.found
+
+
 def align(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, digest: bool = False, size: int = SLICE_BYTES) -> DataFrame:
     """Per document the tokens, the group of each, and the links with the corpus-wide count of their id pairs.
 
@@ -329,35 +379,43 @@ def align(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, digest: bool =
     the most for the B id. With ``digest`` their numbers and a hash of the groups instead.
     """
     rows = cut(sliced(docs, a, b, size))
-    own = rows.select("slice", F.posexplode("pair").alias("at", "pair"))
-    known = own.join(pair_counts(rows), "pair").groupBy("slice").agg(F.collect_list(F.struct("at", "count", "best")).alias("known"))
-    joined = rows.select("slice", "doc_id", "chunks", "chunk", "a", "a_n", "b", "b_n", "pair").join(known, "slice", "left")
+    own = rows.where(F.col("kind") == PAIRS).select("slice", F.col("at").alias("first"), F.posexplode("pair").alias("i", "pair"))
+    entry = F.struct((F.col("first") + F.col("i")).alias("at"), "count", "best")
+    known = own.join(pair_counts(rows), "pair").groupBy("slice", "first").agg(F.collect_list(entry).alias("known"))
+    known = known.select("slice", F.lit(PAIRS).alias("kind"), F.col("first").alias("at"), "known")
+    both = rows.where(F.col("kind") != PAIRS).drop("pair", "times").unionByName(known, allowMissingColumns=True)
+    dealt = both.repartition("slice").sortWithinPartitions("slice", "kind", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = tokenizers(a, b)
+        number, held = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                part = {n: column_of(row, n).flatten() for n in ("chunks", "chunk", "a", "a_n", "b", "b_n", "pair")}
-                numbers = {n: x.to_numpy(zero_copy_only=False).astype(np.int64) for n, x in part.items()}
-                found = align_chunks(numbers["a"], numbers["a_n"], numbers["b"], numbers["b_n"], left, right)
-                count, best = np.zeros(len(numbers["pair"]), np.int64), np.zeros(len(numbers["pair"]), bool)
-                given = column_of(row, "known").flatten()
-                at = given.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
-                count[at] = given.field("count").to_numpy(zero_copy_only=False)
-                best[at] = given.field("best").to_numpy(zero_copy_only=False)
-                place = np.searchsorted(numbers["pair"], found.pair)
+            if not batch.num_rows:
+                continue
+            which, kinds = column_of(batch, "slice").to_numpy(), column_of(batch, "kind").to_numpy()
+            edges = np.flatnonzero((which[1:] != which[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(start, end - start)
+                if which[start] != number:
+                    number, held = which[start], _Slice(left, right)
+                if kinds[start] != DOCUMENT:
+                    held.add(int(kinds[start]), part)
+                    continue
+                lists = column_of(part, "chunk")
+                per_text = np.diff(lists.offsets.to_numpy()).astype(np.int64)
                 make = _digested if digest else _linked
-                yield from make(column_of(row, "doc_id").flatten(), numbers["chunks"], numbers["chunk"], found, count[place], best[place])
+                yield from make(column_of(part, "doc_id"), per_text, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), *held.ready())
 
-    return joined.mapInArrow(run, DIGEST if digest else LINKS)
+    return dealt.mapInArrow(run, DIGEST if digest else LINKS)
 
 
 def _digested(ids: pa.Array, per_text: np.ndarray, chunk: np.ndarray, found: Aligned, count: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
     at = _bounds(per_text)
     each = [np.diff(found.a_at), np.diff(found.b_at), np.diff(found.group_at), np.diff(found.link_at), _sums(best.astype(np.int64), found.link_at), _sums(count, found.link_at)]
     columns = [pa.array(_sums(x[chunk], at)) for x in each]
-    spelled = _group_texts(found)
+    if found.texts is None:
+        found.texts = _group_texts(found)
+    spelled = found.texts
     picked = chunk.tolist()
     hashes = [hashlib.sha256(b";".join([spelled[c] for c in picked[s:e]])).hexdigest() if e > s else "" for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(hashes, pa.string())], [x.split()[0] for x in DIGEST.split(", ")])
