@@ -11,7 +11,7 @@ sequence of chunk numbers: a chunk is tokenized and aligned once per slice. A to
 join chunks is given whole texts.
 
 Counts of id pairs are summed up over all slices, and each slice gets back only the counts of its own pairs. A slice is
-written as many small rows: its chunks and its pairs in blocks, then one row per document.
+written as many small rows: blocks of its chunks, of its pairs and of its documents.
 
 Defined results: null and empty texts, and texts whose tokens of A or of B do not spell ``space + text``, have no tokens; texts of
 any length are one row; repeated rows give repeated results and count each time; ties for the best partner are all
@@ -38,12 +38,13 @@ from graphloom.session import cut, spread
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 2 << 20
-STEP = 4096
+SLICE_BYTES = 4 << 20
+#: Chunks that are tokenized at once, and chunks, pairs and chunk numbers in a row.
+STEP, ROW_PAIRS, ROW_CHUNKS = 4096, 4096, 1 << 16
 
 #: Kinds of rows of a slice, in the order in which they are read again: ``at`` is the number of a row's first chunk, pair or document.
-CHUNKS, PAIRS, DOCUMENT = range(3)
-SLICED = "slice long, kind int, at int, doc_id long, chunk array<int>, a array<int>, a_n array<int>, b array<int>, b_n array<int>, pair array<long>, times array<long>"
+CHUNKS, PAIRS, DOCUMENTS = range(3)
+SLICED = "slice long, kind int, at int, doc_id array<long>, chunks binary, chunk binary, a binary, a_n binary, b binary, b_n binary, pair array<long>, times array<long>"
 LINKS = "doc_id long, a array<int>, b array<int>, a_group array<int>, b_group array<int>, link_a array<int>, link_b array<int>, link_count array<long>, link_best array<boolean>"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -277,22 +278,51 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(_bounds(np.array([len(r) for r in rows])).astype(np.int32)), pa.array(np.concatenate(rows) if rows else [], kind))
 
 
+def _frequent_first(per_text: np.ndarray, chunk: np.ndarray, a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same chunks numbered by falling frequency, which packs better."""
+    order = np.argsort(-np.bincount(chunk, minlength=len(a_n)), kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+
+    def moved(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, own = (np.cumsum(n) - n)[order], n[order]
+        return ids[np.repeat(start - np.cumsum(own) + own, own) + np.arange(int(own.sum()))], own
+
+    return per_text, number[chunk], *moved(a, a_n), *moved(b, b_n)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers from 0 to 2**32 - 1 by planes of bytes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _rows(number: int, kind: int, at: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
     """Rows of one kind of a slice; the columns of other kinds are null."""
     n = len(at)
     made = {"slice": pa.array(np.full(n, number, np.int64)), "kind": pa.array(np.full(n, kind, np.int32)), "at": pa.array(at.astype(np.int32)), **columns}
-    types = {"doc_id": pa.int64(), "pair": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
+    types = {x: pa.list_(pa.int64()) for x in ("doc_id", "pair", "times")}
     names = [x.split()[0] for x in SLICED.split(", ")]
-    return pa.RecordBatch.from_arrays([made[x] if x in made else pa.nulls(n, types.get(x, pa.list_(pa.int32()))) for x in names], names)
+    return pa.RecordBatch.from_arrays([made[x] if x in made else pa.nulls(n, types.get(x, pa.binary())) for x in names], names)
 
 
-def _split(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+def _split(values: pa.Array, at: np.ndarray) -> pa.ListArray:
     """A list per stretch between bounds."""
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+
+
+def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.array([pack(values[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
 
-def _blocks(n: int) -> np.ndarray:
-    return np.append(np.arange(0, n, STEP), n)
+def _blocks(n: int, size: int) -> np.ndarray:
+    return np.append(np.arange(0, n, size), n)
 
 
 def sliced(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, size: int = SLICE_BYTES) -> DataFrame:
@@ -302,19 +332,20 @@ def sliced(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, size: int = SL
         left, right = tokenizers(a, b)
         number = TaskContext.get().partitionId() << 32
         for part in slices(_gathered(batches, size), size=size):
-            per_text, chunk, a_ids, a_n, b_ids, b_n = encode_slice(column_of(part, "text"), left, right)
+            per_text, chunk, a_ids, a_n, b_ids, b_n = _frequent_first(*encode_slice(column_of(part, "text"), left, right))
             found = align_chunks(a_ids, a_n, b_ids, b_n, left, right)
             times = np.bincount(chunk, minlength=len(a_n)).astype(np.int64)
             pair, place = np.unique(found.pair, return_inverse=True)
             weight = np.zeros(len(pair), np.int64)
             np.add.at(weight, place, np.repeat(times, np.diff(found.link_at)))
-            at = _blocks(len(a_n))
-            lists = {"a": (a_ids, _bounds(a_n)[at]), "a_n": (a_n, at), "b": (b_ids, _bounds(b_n)[at]), "b_n": (b_n, at)}
-            yield _rows(number, CHUNKS, at[:-1], **{k: _split(x.astype(np.int32), y, pa.int32()) for k, (x, y) in lists.items()})
-            at = _blocks(len(pair))
-            yield _rows(number, PAIRS, at[:-1], pair=_split(pair, at, pa.int64()), times=_split(weight, at, pa.int64()))
-            ids = column_of(part, "doc_id").cast(pa.int64())
-            yield _rows(number, DOCUMENT, np.arange(len(ids)), doc_id=ids, chunk=_split(chunk.astype(np.int32), _bounds(per_text), pa.int32()))
+            at = _blocks(len(a_n), ROW_CHUNKS)
+            a_at, b_at = _bounds(a_n)[at], _bounds(b_n)[at]
+            yield _rows(number, CHUNKS, at[:-1], a=_packed(a_ids, a_at), a_n=_packed(a_n, at), b=_packed(b_ids, b_at), b_n=_packed(b_n, at))
+            at = _blocks(len(pair), ROW_PAIRS)
+            yield _rows(number, PAIRS, at[:-1], pair=_split(pa.array(pair), at), times=_split(pa.array(weight), at))
+            ids, ends = column_of(part, "doc_id").cast(pa.int64()), _bounds(per_text)
+            at = np.append(np.flatnonzero(np.diff(ends[:-1] // ROW_CHUNKS, prepend=-1)), len(ids))
+            yield _rows(number, DOCUMENTS, at[:-1], doc_id=_split(ids, at), chunks=_packed(per_text, at), chunk=_packed(chunk, ends[at]))
             number += 1
 
     rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -352,7 +383,7 @@ class _Slice:
     def add(self, kind: int, rows: pa.RecordBatch) -> None:
         if kind == CHUNKS:
             for name, held in self.parts.items():
-                held.append(column_of(rows, name).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                held += [unpack(x) for x in column_of(rows, name).to_pylist()]
         else:
             self.known.append(column_of(rows, "known").flatten())
 
@@ -398,13 +429,13 @@ def align(docs: DataFrame, a: str = BYTE_LEVEL, b: str = PIECES, digest: bool =
                 part = batch.slice(start, end - start)
                 if which[start] != number:
                     number, held = which[start], _Slice(left, right)
-                if kinds[start] != DOCUMENT:
+                if kinds[start] != DOCUMENTS:
                     held.add(int(kinds[start]), part)
                     continue
-                lists = column_of(part, "chunk")
-                per_text = np.diff(lists.offsets.to_numpy()).astype(np.int64)
                 make = _digested if digest else _linked
-                yield from make(column_of(part, "doc_id"), per_text, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), *held.ready())
+                for i in range(part.num_rows):
+                    own = [unpack(column_of(part, name)[i].as_py()) for name in ("chunks", "chunk")]
+                    yield from make(column_of(part, "doc_id")[i].values, *own, *held.ready())
 
     return dealt.mapInArrow(run, DIGEST if digest else LINKS)
 
