@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -78,14 +80,14 @@ def test_clamp_facts(spark):
     assert df.select(T.clamp_facts("facts", 3, 6).alias("f")).first().f == ["a", "bbbb…", "c"]
 
 
-def brute_windows(text, size, shared):
+def brute_windows(text, size, shared, count=lambda texts: [len(t.split()) for t in texts]):
     """Indices of sentences per window, replayed sentence by sentence."""
     if not text.strip():
         return []
-    if len(text.split()) <= size:
+    if count([text])[0] <= size:
         return [text]
     spans = T.spans_of(text)
-    cost = [len(s.split()) for _, _, s in spans]
+    cost = count([s for _, _, s in spans])
     windows, open_ = [], []
     for i in range(len(spans)):
         if cost[i] > size:
@@ -108,20 +110,38 @@ def brute_windows(text, size, shared):
     return [text[spans[w[0]][0] : spans[w[-1]][1]] for w in windows]
 
 
-def test_sentence_windows(spark):
+@pytest.mark.parametrize("long", [1 << 20, 40])
+def test_sentence_windows(spark, long):
+    """Inside rows, and with the sentences of all but the shortest texts as rows."""
     rng = random.Random(9)
     texts = []
     for _ in range(200):
         texts.append(" ".join(" ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([1, 2, 5, 9, 30]))) + "." for _ in range(rng.randint(0, 12))))
+    texts += [None, "", " \n " * 40, "  Lead. " + "a b c. " * 900, "one " * 3000 + ". x", texts[7], "x" * 100]
     for shared in (0, 6, 15):
         cfg = WindowConfig(window_size=16, overlap=shared)
-        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        df = spark.createDataFrame([(i, t, i, "r") for i, t in enumerate(texts)], "i int, text string, row int, piece string")
         got = {}
-        for r in sentence_windows(df, cfg).orderBy("i", "chunk_id").collect():
-            assert texts[r.i][r.start : r.end] == r.text
-            got.setdefault(r.i, []).append(r.text)
+        for r in sentence_windows(df, cfg, long=long).orderBy("i", "chunk_id").collect():
+            assert texts[r.i][r.start : r.end] == r.text and r.row == r.i and r.piece == "r"
+            assert r.chunk_id == len(got.setdefault(r.i, []))
+            got[r.i].append(r.text)
         for i, text in enumerate(texts):
-            assert got.get(i, []) == brute_windows(text, 16, shared)
+            assert got.get(i, []) == brute_windows(text or "", 16, shared)
+
+
+@pytest.mark.parametrize("long", [1 << 20, 40])
+def test_sentence_windows_with_another_count(spark, long):
+    """A count that gives some sentences no token and others many."""
+    count = lambda texts: [t.count("t") for t in texts]
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice(["t", "x", "tttt", "t" * 20]) for _ in range(rng.randint(1, 4))) + "." for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for shared in (0, 7):
+        got = {}
+        for r in sentence_windows(df, WindowConfig(window_size=16, overlap=shared), count, long).orderBy("i", "chunk_id").collect():
+            got.setdefault(r.i, []).append(r.text)
+        assert [got.get(i, []) for i in range(len(texts))] == [brute_windows(t, 16, shared, count) for t in texts]
 
 
 def test_window_sizes_are_clamped():
