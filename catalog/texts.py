@@ -91,7 +91,45 @@ def char_windows_(spark, sf):
     return char_windows(docs, WindowConfig(window_size=100, overlap=20))
 
 
-@query("sentence_windows")
+SENTENCE_WINDOWS = r"""
+pieces AS (
+  SELECT doc_id, text, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM (
+    SELECT doc_id, text, string_split(regexp_replace(text, '([.!?。！？]\s+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)),
+placed AS (
+  SELECT doc_id, k, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
+         len(regexp_split_to_array(trim(piece, E' \n'), '\s+')) AS t FROM pieces),
+s AS (
+  SELECT doc_id, row_number() OVER w - 1 AS i, e - length(piece) AS st, e AS en, t, sum(t) OVER w - t AS p,
+         count(*) OVER (PARTITION BY doc_id) AS n, sum(t) OVER (PARTITION BY doc_id) AS total
+  FROM placed WHERE trim(piece, E' \n') <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+back AS (
+  SELECT a.doc_id, a.i, min(b.i) AS tail, min(b.p) AS tail_p FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 20 AND a.i
+  WHERE a.p - b.p <= 20 GROUP BY ALL),
+steps AS (SELECT s.*, tail, tail_p FROM s JOIN back USING (doc_id, i) WHERE total > 100),
+replay(doc_id, i, n, first, first_p, held, a, b) AS (
+  SELECT doc_id, i, n, i, p, 0::HUGEINT, NULL::BIGINT, NULL::BIGINT FROM steps WHERE i = 0
+  UNION ALL
+  SELECT doc_id, i + 1, n,
+         CASE WHEN t > 100 THEN i + 1 WHEN closes THEN greatest(first, tail) ELSE first END,
+         CASE WHEN t > 100 THEN p + t WHEN closes THEN greatest(first_p, tail_p) ELSE first_p END,
+         CASE WHEN t > 100 THEN 0 WHEN closes THEN p - greatest(first_p, tail_p) + t ELSE held + t END,
+         CASE WHEN closes THEN first END, CASE WHEN closes THEN i END
+  FROM (SELECT s.*, r.first, r.first_p, r.held, r.first < s.i AND r.held + s.t > 100 AS closes
+        FROM replay r JOIN steps s ON s.doc_id = r.doc_id AND s.i = r.i)),
+bounds AS (
+  SELECT doc_id, a, b FROM replay WHERE a IS NOT NULL
+  UNION ALL SELECT doc_id, first, n FROM replay WHERE i = n AND first < n
+  UNION ALL SELECT doc_id, i, i + 1 FROM steps WHERE t > 100),
+windows AS (
+  SELECT doc_id, x.st AS ws, y.en AS we, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS chunk_id
+  FROM bounds JOIN s x USING (doc_id) JOIN s y USING (doc_id) WHERE x.i = a AND y.i = b - 1
+  UNION ALL SELECT doc_id, 0, length(text), 0 FROM documents WHERE doc_id IN (SELECT doc_id FROM s WHERE total <= 100)),
+sentence_windows AS (
+  SELECT doc_id, CAST(ws AS INTEGER) AS "start", CAST(we AS INTEGER) AS "end", substr(text, CAST(ws AS BIGINT) + 1, CAST(we - ws AS BIGINT)) AS text,
+         CAST(chunk_id AS INTEGER) AS chunk_id FROM windows JOIN documents USING (doc_id))"""
+
+
+@query("sentence_windows", f"WITH RECURSIVE {SENTENCE_WINDOWS} SELECT * FROM sentence_windows")
 def sentence_windows_(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return sentence_windows(docs, WindowConfig(window_size=100, overlap=20))
@@ -229,7 +267,21 @@ def extraction_stats(spark, sf):
     return stats.select("graph_id", *[slots.meta(n).alias(n) for n in names])
 
 
-@query("extract_documents")
+@query(
+    "extract_documents",
+    rf"""WITH RECURSIVE {SENTENCE_WINDOWS},
+words AS (SELECT CAST(doc_id AS VARCHAR) AS graph_id, chunk_id, regexp_split_to_array(trim(text, E' \n'), '\s+') AS w FROM sentence_windows),
+triples AS (SELECT graph_id, chunk_id, w[1] AS head, w[len(w) // 2 + 1] AS relation, w[-1] AS tail FROM words),
+merged AS (
+  SELECT graph_id, f.* FROM (
+    SELECT graph_id, arg_min({{'head': head, 'relation': relation, 'tail': tail, 'chunk_id': chunk_id}}, chunk_id) AS f
+    FROM triples GROUP BY graph_id, lower(head), lower(relation), lower(tail))),
+seen AS (SELECT graph_id, head AS label, chunk_id * 2 AS place FROM merged UNION ALL SELECT graph_id, tail, chunk_id * 2 + 1 FROM merged),
+e AS (SELECT graph_id, label, row_number() OVER (PARTITION BY graph_id ORDER BY min(place)) - 1 AS k FROM seen GROUP BY graph_id, label)
+SELECT m.graph_id, 'entity_' || h.k AS source, 'entity_' || l.k AS target, m.relation,
+       row_number() OVER (PARTITION BY m.graph_id ORDER BY m.chunk_id) - 1 AS ord
+FROM merged m JOIN e h ON h.graph_id = m.graph_id AND h.label = m.head JOIN e l ON l.graph_id = m.graph_id AND l.label = m.tail""",
+)
 def extract_documents(spark, sf):
     """Whole path with a stand-in model: the first words of a window as one triple."""
 
