@@ -16,6 +16,7 @@ from graphloom.plans.loop import grow, run
 from graphloom.plans.run import RunConfig
 from graphloom.session import checkpoint_dir
 from graphloom.sources.stars import star_graphs
+from graphloom.streaming import live
 from graphloom.streaming import telemetry as TM
 
 
@@ -285,3 +286,96 @@ def stream_bounded_events(spark, sf):
         .awaitTermination()
     )
     return spark.read.parquet(f"{folder}/rows")
+
+
+def _in_slices(spark, df, order: str, folder: str, run, slices: int = 4) -> None:
+    """Write ``df`` as a stream source in slices of its order, and let ``run`` take up each slice after a restart."""
+    edges = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.001)
+    bounds = [None, *edges, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = df if low is None else df.where(F.col(order) >= low)
+        (part if high is None else part.where(F.col(order) < high)).write.mode("append").parquet(folder)
+        run()
+
+
+def _running(spark, sf, idle: float):
+    """The state operator over all events, each sent twice, in four runs of the stream; its folder and the progress of the last run."""
+    folder = _folder(spark)
+    events = table(spark, sf, "events").withColumn("order", epoch_seconds("ts").cast("double"))
+    progress = []
+
+    def run() -> None:
+        rows = telemetry(spark.readStream.schema(events.schema).parquet(f"{folder}/source"))
+        query = TM.stats_sink(TM.parse_events(rows.unionByName(rows)), f"{folder}/table", f"{folder}/checkpoint", idle, "1 hour", every=3)
+        query.awaitTermination()
+        progress.append(query.recentProgress[-1])
+
+    _in_slices(spark, events, "order", f"{folder}/source", run)
+    return folder, progress[-1]
+
+
+@query("stream_running_stats", LATEST)
+def stream_running_stats(spark, sf):
+    """The running merge with bounded state: repeated events, restarts, a table that is folded."""
+    folder, _ = _running(spark, sf, 6 * 3600.0)
+    return TM.read_table(spark, f"{folder}/table", ["experiment_id", "stage"]).drop("ts", "seq")
+
+
+@query(
+    "stream_state_size",
+    f"""WITH {TELEMETRY}, keys AS (SELECT max(ts) AS ts FROM sent WHERE type = 'TELEMETRY' GROUP BY experiment_id, stage),
+mark AS (SELECT max(ts) - 3600 AS mark FROM sent)
+SELECT count(*) AS seen, CAST(count_if(ts + 6 * 3600 >= mark) AS BIGINT) AS held FROM keys, mark""",
+)
+def stream_state_size(spark, sf):
+    """Stages that the running merge has seen, and those it still holds as state at the end."""
+    folder, last = _running(spark, sf, 6 * 3600.0)
+    held = [op["numRowsTotal"] for op in last["stateOperators"] if op["operatorName"] == "applyInPandasWithState"]
+    return TM.read_table(spark, f"{folder}/table", ["experiment_id", "stage"]).agg(F.count(F.lit(1)).alias("seen")).withColumn("held", F.lit(held[0]).cast("long"))
+
+
+FOLLOWING = """
+timed AS (SELECT event_id AS seq, floor(epoch(ts)) AS t, event_type, CAST(user_id AS VARCHAR) AS client_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS VARCHAR) AS k FROM events),
+requests AS (
+  SELECT client_id, CASE WHEN event_type = 'click' THEN k END AS experiment_id, seq, t,
+         lead(t) OVER w AS until, lag(CASE WHEN event_type = 'click' THEN k END) OVER w AS before
+  FROM timed WHERE event_type IN ('click', 'signup') WINDOW w AS (PARTITION BY client_id ORDER BY t, seq)),
+sent AS (SELECT CAST(seq % 20 AS VARCHAR) AS experiment_id, seq, t FROM timed WHERE event_type NOT IN ('click', 'signup')),
+mark AS (SELECT least((SELECT max(t) FROM sent), (SELECT max(t) FROM requests WHERE experiment_id IS NOT NULL OR before IS NOT NULL)) - 3600 AS mark)"""
+
+
+@query(
+    "stream_subscribed",
+    f"""WITH {FOLLOWING} SELECT e.experiment_id, r.client_id, e.seq FROM sent e JOIN mark ON e.t < mark
+JOIN requests r ON r.experiment_id = e.experiment_id AND e.t >= r.t AND e.t < coalesce(least(r.until, r.t + 432000), r.t + 432000)""",
+)
+def stream_subscribed(spark, sf):
+    """Clients follow the experiment of their last click until they sign up, or five days; events go to those who follow then."""
+    folder, lapse = _folder(spark), 5 * 86400.0
+    events = table(spark, sf, "events").withColumn("order", epoch_seconds("ts").cast("double"))
+    at = F.timestamp_seconds("order")
+
+    def run() -> None:
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/source")
+        k = (F.get_json_object("props", "$.k").cast("long") % 20).cast("string")
+        asked = source.where("event_type IN ('click', 'signup')").select(
+            F.col("user_id").cast("string").alias("client_id"), F.when(F.col("event_type") == "click", k).alias("experiment_id"), F.col("event_id").alias("seq"), at.alias("at")
+        )
+        changes = live.subscription_changes(live.on_event_time(asked, "1 hour", F.col("at")), lapse)
+        TM.append_sink(changes, f"{folder}/changes", f"{folder}/checkpoint/changes").awaitTermination()
+        sent = source.where("event_type NOT IN ('click', 'signup')").select((F.col("event_id") % 20).cast("string").alias("experiment_id"), F.col("event_id").alias("seq"), at.alias("at"))
+        moves = spark.readStream.schema(live.CHANGE).parquet(f"{folder}/changes")
+        given = live.deliver(live.on_event_time(sent, "1 hour", F.col("at")), live.on_event_time(moves, "1 hour", F.col("at")), lapse)
+        TM.append_sink(given, f"{folder}/delivered", f"{folder}/checkpoint/delivered").awaitTermination()
+
+    _in_slices(spark, events, "order", f"{folder}/source", run)
+    return spark.read.schema(live.DELIVERED).parquet(f"{folder}/delivered")
+
+
+@query("stream_status", f"WITH {TELEMETRY} SELECT experiment_id, arg_max(type, (ts, seq)) AS status, TRUE AS refresh FROM sent GROUP BY experiment_id")
+def stream_status(spark, sf):
+    """The last status of each experiment, followed as a stream."""
+    folder = _folder(spark)
+    rows = TM.parse_events(telemetry(_stream(spark, sf))).withColumnRenamed("type", "status")
+    TM.status_sink(rows, f"{folder}/status", f"{folder}/checkpoint").awaitTermination()
+    return TM.read_table(spark, f"{folder}/status", ["experiment_id"])
