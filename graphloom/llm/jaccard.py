@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.repeats import LAST, identified
+from graphloom.llm.tables import unused
 from graphloom.llm.tokens import Words, column_of, grams, int64s, join_hash, mix, slices
 from graphloom.operators.components import connected_components
 from graphloom.session import cut
@@ -592,6 +593,7 @@ def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     least = F.min(F.struct("d", "h")).alias("_k")
     one = classed.where("n > 0").groupBy("c").agg(least).select("_k.d", "_k.h")
     lone = classed.where("n = 0").groupBy("d", F.when(F.col("d") == LAST, F.col("h")).alias("own")).agg(least).select("_k.d", "_k.h")
-    keep = one.unionByName(lone).select(F.col("d").alias("_d"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_h": F.xxhash64(F.col("text").cast("string"))})
-    return keyed.join(keep, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    d, h = unused(docs, "_d", "_h")
+    keep = one.unionByName(lone).select(F.col("d").alias(d), F.col("h").alias(h)).distinct()
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(keep, [d, h], "left_semi").dropDuplicates([d, h]).select(*[F.col(f"`{c}`") for c in docs.columns])

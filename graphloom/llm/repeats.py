@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.tables import unused
 from graphloom.llm.tokens import Words, column_of, join_hash, slices
 
 WINDOW = 50
@@ -60,22 +61,23 @@ def remove_windows(docs: DataFrame, removed: DataFrame, window: int = WINDOW, ke
     """
     # a set: repeated rows of a document bring their ranges once
     ranges = removed.groupBy("d", "h").agg(F.collect_set(F.struct("s", "n")).alias("_ranges"))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_h": F.xxhash64(F.col("text").cast("string"))})
-    ranges = ranges.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("_ranges.s").alias("_s"), F.col("_ranges.n").alias("_n"))
-    joined = keyed.join(ranges, ["_d", "_h"], "left").drop("_d", "_h")
+    d, h, at, long = unused(docs, "_d", "_h", "_s", "_n")
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: F.xxhash64(F.col("text").cast("string"))})
+    ranges = ranges.select(F.col("d").alias(d), F.col("h").alias(h), F.col("_ranges.s").alias(at), F.col("_ranges.n").alias(long))
+    joined = keyed.join(ranges, [d, h], "left").drop(d, h)
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = Words(column_of(batch, "text"), "plain")
             edge = np.zeros(len(words.hashes) + 1, np.int64)
-            for name, sign in (("_s", 1), ("_n", -1)):
-                starts, lengths = column_of(batch, "_s"), column_of(batch, "_n")
+            for name, sign in ((at, 1), (long, -1)):
+                starts, lengths = column_of(batch, at), column_of(batch, long)
                 rows = np.repeat(np.arange(len(starts)), [0 if x is None else x for x in _lengths(starts)])
                 s = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 n = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                at = words.first[rows] + s
-                np.add.at(edge, at if name == "_s" else at + n - 1 + window, sign)
+                place = words.first[rows] + s
+                np.add.at(edge, place if name == at else place + n - 1 + window, sign)
             gone = np.cumsum(edge[:-1]) > 0
             below = np.concatenate([[0], np.cumsum(gone)])
             n_removed = below[words.first[1:]] - below[words.first[:-1]]
@@ -92,7 +94,7 @@ def remove_windows(docs: DataFrame, removed: DataFrame, window: int = WINDOW, ke
 
     if kept:
         return joined.mapInArrow(apply, docs.schema)
-    joined = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_s", "_n")
+    joined = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), at, long)
     return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -13,3 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """``doc_id`` as a long and ``text`` of a table of documents, other columns by name."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where ``df`` has such a column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -75,3 +75,33 @@ def test_empty_tables(spark, planted, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHES = ["_d", "_h", "_s", "_n", "_l", "_w", "_k", "_ranges", "_D", "ids", "decoded", "contamination", "_contamination", "_ids", "_decoded", "d", "h", "c", "n", "component", "mean", "whole", "k", "r"]
+
+
+def test_any_column_names_repeated_rows_and_rows_without_id(spark, planted):
+    """Columns of the caller keep their values through every stage."""
+    from pyspark.sql import functions as F
+
+    folder, _, _ = planted
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        more = docs.where("doc_id IN (5, 6, 102)")
+        docs = docs.unionByName(more).unionByName(more).unionByName(docs.where("doc_id IN (7, 103)").withColumn("doc_id", F.lit(None).cast("long")))
+        docs = docs.withColumns({c: F.concat(F.lit(f"{c}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES})
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            rows = out.collect()
+            if number == 4:
+                assert all(r.round_trip for r in rows)
+                break
+            assert out.columns == docs.columns and len(rows) > 50
+            assert all(r[c] == f"{c}/{'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+            assert {5, 102} <= {r.doc_id for r in rows}
+            if number:
+                assert len({r.doc_id for r in rows}) == len(rows)
+            docs = spark.createDataFrame(rows, docs.schema)
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
