@@ -1,7 +1,13 @@
 """A cleaning pipeline for training documents, built from the operators of ``graphloom.llm``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep the columns of
-``documents``. ``run`` writes what a stage returns as Parquet in the checkpoint folder and gives it to the next.
+``documents``, under any names. ``run`` writes what a stage returns as Parquet in the checkpoint folder and gives it to the next.
+
+Nulls, empty texts, repeated rows and texts of any length: the first stage rejects texts without words (null and empty ones); it
+keeps or rejects repeated rows alike, and rows without id by their text. The second leaves one of the rows that repeat an id and text,
+and of a group of near copies the one with the smallest id, rows without id last. In the third, rows of one id do not take
+passages from each other, nor do rows without id. The fourth and fifth judge and encode each row by itself. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, jaccard, pieces, quality, recompression
-from graphloom.llm.tables import table
+from graphloom.llm.tables import table, unused
 from graphloom.session import checkpoint_dir, tune
 
 
@@ -35,14 +41,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), report="_contamination")
-    return found.where("_contamination.n_hit = 0").drop("_contamination")
+    (report,) = unused(docs, "_contamination")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), report=report)
+    return found.where(F.col(report).n_hit == 0).drop(report)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, n_pieces, ids, round_trip)``: the piece ids of each text, and whether they decode to it."""
-    encoded = pieces.decode(pieces.encode(docs, ids="_ids"), ids="_ids", text="_decoded")
-    return encoded.select("doc_id", "lang", "source", F.size("_ids").cast("long").alias("n_pieces"), F.col("_ids").alias("ids"), F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    ids, decoded = unused(docs, "_ids", "_decoded")
+    encoded = pieces.decode(pieces.encode(docs, ids=ids), ids=ids, text=decoded)
+    return encoded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_pieces"), F.col(ids).alias("ids"), F.col(decoded).eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def _tuned(stage):
