@@ -16,7 +16,7 @@ from graphloom.plans.loop import grow, run
 from graphloom.plans.run import RunConfig
 from graphloom.session import checkpoint_dir
 from graphloom.sources.stars import star_graphs
-from graphloom.streaming import live
+from graphloom.streaming import live, replay
 from graphloom.streaming import telemetry as TM
 
 
@@ -379,3 +379,26 @@ def stream_status(spark, sf):
     rows = TM.parse_events(telemetry(_stream(spark, sf))).withColumnRenamed("type", "status")
     TM.status_sink(rows, f"{folder}/status", f"{folder}/checkpoint").awaitTermination()
     return TM.read_table(spark, f"{folder}/status", ["experiment_id"])
+
+
+@query(
+    "stream_replay",
+    f"WITH {TELEMETRY} SELECT experiment_id, seq, ts, 'ERROR' AS level, 'event ' || seq AS message FROM sent WHERE type = 'LOG'",
+)
+def stream_replay(spark, sf):
+    """Logs of the first half of the time are stored; a feed replays them and follows a live source that begins within that half."""
+    folder = _folder(spark)
+    events = table(spark, sf, "events").withColumn("order", epoch_seconds("ts").cast("double"))
+    logs = lambda rows: TM.log_entries(TM.parse_events(telemetry(rows)))
+    half, quarter = events.approxQuantile("order", [0.5, 0.25], 0.001)
+    TM.append_sink(
+        logs(_stream(spark, sf).where(epoch_seconds("ts") <= half)), f"{folder}/logs", f"{folder}/checkpoint/logs"
+    ).awaitTermination()
+    stored = spark.read.schema(replay.SCHEMA).parquet(f"{folder}/logs")
+
+    def run() -> None:
+        live_logs = logs(spark.readStream.schema(events.schema).parquet(f"{folder}/source"))
+        replay.replay_sink(stored, live_logs, f"{folder}/feed", f"{folder}/checkpoint/feed", 3600.0).awaitTermination()
+
+    _in_slices(spark, events.where(F.col("order") >= quarter), "order", f"{folder}/source", run)
+    return replay.read_feed(spark, f"{folder}/feed")

@@ -16,6 +16,16 @@ def _status(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _status(spark, path)
+    return fs.exists(target)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether the job that writes the folder has ended."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """``(kind, number)`` of the complete folders, ``batch`` or ``snapshot``, by number."""
     target, fs = _status(spark, path)
@@ -24,7 +34,7 @@ def folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     found = []
     for entry in fs.listStatus(target):
         kind, _, number = entry.getPath().getName().partition("-")
-        if kind in ("batch", "snapshot") and fs.exists(_status(spark, f"{entry.getPath()}/_SUCCESS")[0]):
+        if kind in ("batch", "snapshot") and complete(spark, entry.getPath().toString()):
             found.append((kind, int(number)))
     return sorted(found, key=lambda x: (x[1], x[0]))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.session import checkpoint_dir
-from graphloom.streaming import live, store
+from graphloom.streaming import live, replay, store
 from graphloom.streaming import telemetry as TM
 
 
@@ -130,3 +130,33 @@ def test_subscriptions_come_and_go(spark, tmp_path, shares):
     mark = min(max(t for *_, t in events), last) - delay
     assert len(made) > 20
     assert made == plain_delivery(requests, events, lapse, mark)
+
+
+def test_replay_hands_over_without_loss_or_repeat(spark, tmp_path):
+    """Out of order within the delay, logs that only one source holds, repeats of the live source, a restart with other stored logs."""
+    rng = random.Random(7)
+    log = lambda i, t: (f"e{i}", t, float(t), None if t % 5 == 0 else "INFO", f"m{t}")
+    logs = [log(rng.randrange(3), t) for t in range(400)] + [log(9, 395)]
+    shaken = sorted(logs, key=lambda r: r[2] + rng.uniform(0, 20))
+    # of the last logs before the hand-over, every third had not reached the store
+    stored = [r for i, r in enumerate(shaken[:200]) if i < 170 or i % 3]
+    parts = [shaken[100:220], shaken[210:300] + shaken[290:300], shaken[300:]]
+    frame = lambda rows: spark.createDataFrame(rows, replay.SCHEMA)
+    feed, ck, source = str(tmp_path / "feed"), str(tmp_path / "ck"), str(tmp_path / "source")
+    replay.hand_over(frame(stored + stored[-3:]), feed, 60.0)
+    assert sorted(map(str, replay.read_feed(spark, feed).collect())) == sorted(map(str, frame(stored).collect()))
+    for n, part in enumerate(parts):
+        frame(part).coalesce(1).write.mode("append").parquet(source)
+        live_logs = spark.readStream.schema(replay.SCHEMA).parquet(source)
+        # what is stored later does not move the hand-over
+        replay.replay_sink(frame(stored + parts[n]), live_logs, feed, ck, 60.0).awaitTermination()
+    made = [tuple(r) for r in replay.read_feed(spark, feed).collect()]
+    assert len(made) == len(set(made)) and set(made) == set(logs)
+
+
+def test_replay_without_stored_logs(spark, tmp_path):
+    rows = spark.createDataFrame([("e", 1, 1.0, None, "m"), ("e", 2, 1.0, None, "m")], replay.SCHEMA)
+    rows.write.parquet(str(tmp_path / "source"))
+    live_logs = spark.readStream.schema(replay.SCHEMA).parquet(str(tmp_path / "source"))
+    replay.replay_sink(rows.where("false"), live_logs, str(tmp_path / "feed"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r.seq for r in replay.read_feed(spark, str(tmp_path / "feed")).collect()) == [1, 2]
