@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -23,6 +26,8 @@ from catalog.tables import (
 from graphloom.functions import slots
 from graphloom.functions.text import split_sentences
 from graphloom.operators import corpora, expansion, halting
+from graphloom.session import checkpoint_dir
+from graphloom.sources import arrays, datasets
 
 
 @query("salvage_json", f"WITH {RESPONSES} SELECT graph_id, j FROM salvaged")
@@ -286,3 +291,34 @@ def experiment_provenance(spark, sf):
         F.col("user_id").alias("dataset_index"),
     )
     return corpora.with_provenance(experiments, _fever(spark, sf)).select("experiment_id", "query")
+
+
+def _array_files(spark, sf):
+    """Documents as relation samples, 512 a file, each file one JSON array; their folder."""
+    folder = f"{checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    labels = F.array(F.struct(F.col("source").alias("r"), F.lit(0).alias("h"), F.lit(1).alias("t"), F.array(F.lit(0)).alias("evidence")))
+    vertex = F.array(F.array(F.struct(F.col("lang").alias("name"), F.lit('{"}\\').alias("type"), F.lit(0).alias("sent_id"), F.array(F.lit(0)).alias("pos"))))
+    sample = F.to_json(F.struct(F.concat("doc_id", F.lit(": {")).alias("title"), F.array(words).alias("sents"), vertex.alias("vertexSet"), labels.alias("labels")))
+    rows = table(spark, sf, "documents").withColumns({"part": F.floor(F.col("doc_id") / 512), "sample": sample})
+    by_id = Window.partitionBy("part").orderBy("doc_id")
+    opened = F.when(F.row_number().over(by_id) == 1, F.lit("[")).otherwise(F.lit(","))
+    ended = F.when(F.lead("doc_id").over(by_id).isNull(), F.lit("]")).otherwise(F.lit(""))
+    lines = rows.select("part", "doc_id", F.concat(opened, "sample", ended).alias("value"))
+    lines.sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(folder)
+    return folder
+
+
+@query(
+    "read_array_files",
+    """SELECT doc_id // 512 AS part, doc_id || ': {' AS title, row_number() OVER (PARTITION BY doc_id // 512 ORDER BY doc_id) - 1 AS idx,
+  coalesce(text, '') AS text, lang, '{"}\\' AS entity_type, source FROM documents""",
+)
+def read_array_files(spark, sf):
+    """Array files, split and put together again, with the position of each sample."""
+    rows = arrays.read_array(spark, _array_files(spark, sf), datasets.DOCRED_SAMPLE)
+    entity = F.col("vertexSet")[0][0]
+    return rows.select(
+        F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "title", "idx", F.array_join(F.col("sents")[0], " ").alias("text"),
+        entity["name"].alias("lang"), entity["type"].alias("entity_type"), F.col("labels")[0]["r"].alias("source"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from graphloom.operators.topology import ordinals
+from graphloom.sources.arrays import read_array
 
 # The known corpora and the files of the local one.
 SPECS = [
@@ -57,30 +58,16 @@ def spec(dataset_id: str) -> dict:
 def read_docred(spark: SparkSession, root: str, split: str) -> DataFrame:
     """Samples of a local split with their file position ``idx``.
 
-    The file is one JSON array, or an object whose ``data`` is that array; anything else
-    raises when it is read. A JSON array cannot be split, so one task reads it; stored
-    splits (:func:`read_split`) are the form for large corpora.
+    The file is one JSON array, or an object whose ``data`` is that array, and is read by as many tasks as it has
+    splits; anything else raises.
     """
     if split not in DOCRED_FILES:
         raise KeyError(f"unknown split: {split}")
     path = f"{root}/{DOCRED_FILES[split]}"
-    inner = DOCRED_SAMPLE.replace("title string", "title:string").replace(", ", ",")
-    for name in ("abstract", "sents", "vertexSet", "labels"):
-        inner = inner.replace(f"{name} ", f"{name}:")
-    schema = f"{DOCRED_SAMPLE}, data array<struct<{inner}>>"
     try:
-        rows = spark.read.schema(schema).json(path, multiLine=True)
+        return read_array(spark, path, DOCRED_SAMPLE).drop("file")
     except AnalysisException as error:
         raise FileNotFoundError(path) from error
-    names = ["title", "abstract", "sents", "vertexSet", "labels"]
-    own = F.struct(*names)
-    blank = F.col("data").isNull() & F.col("sents").isNull() & F.col("title").isNull() & F.col("labels").isNull()
-    checked = F.when(blank, F.raise_error(F.lit("unsupported file format"))).otherwise(own)
-    # The only task of the file numbers its rows from 0.
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    samples = F.when(F.col("data").isNotNull(), F.col("data")).otherwise(F.array(checked))
-    exploded = numbered.select("row", F.posexplode(samples).alias("pos", "s"))
-    return exploded.select((F.col("row") + F.col("pos")).alias("idx"), *[F.col(f"s.{n}") for n in names])
 
 
 def split_path(root: str, dataset_id: str, split: str, config: str | None = None) -> str:
