@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -27,7 +28,7 @@ from graphloom.functions import slots
 from graphloom.functions.text import split_sentences
 from graphloom.operators import corpora, expansion, halting
 from graphloom.session import checkpoint_dir
-from graphloom.sources import arrays, datasets
+from graphloom.sources import arrays, datasets, splits
 
 
 @query("salvage_json", f"WITH {RESPONSES} SELECT graph_id, j FROM salvaged")
@@ -322,3 +323,47 @@ def read_array_files(spark, sf):
         F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "title", "idx", F.array_join(F.col("sents")[0], " ").alias("text"),
         entity["name"].alias("lang"), entity["type"].alias("entity_type"), F.col("labels")[0]["r"].alias("source"),
     )
+
+
+def _stored(spark, sf, rows, dataset_id="fever", split="train"):
+    """``rows`` as a stored split of 64 rows a file; its root."""
+    root = f"{checkpoint_dir(spark)}/corpora-{uuid.uuid4().hex}"
+    splits.store_split(rows, root, dataset_id, split, file_rows=64)
+    return root
+
+
+@query("stored_sample_page", f'WITH {FEVER} SELECT "index", query, label FROM fever_out WHERE "index" BETWEEN 40 AND 59')
+def stored_sample_page(spark, sf):
+    """A page of the stored form of the corpus; what lies on other pages is not opened."""
+    rows, pages = fever_rows(spark, sf)
+    page = splits.read_page(spark, _stored(spark, sf, rows), "fever", "train", 3, 20)
+    return corpora.normalize(page, "fever", "train", corpora.wiki_pages(pages)).select("index", "query", "label")
+
+
+@query(
+    "stored_split_totals",
+    """SELECT 'fever' AS dataset_id, 'train' AS split, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM documents""",
+)
+def stored_split_totals(spark, sf):
+    """Totals of stored splits, found by their folders and read from their bounds."""
+    return splits.totals(spark, _stored(spark, sf, fever_rows(spark, sf)[0]), ["fever", "cuad"])
+
+
+@query("stored_split_rows", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")
+def stored_split_rows(spark, sf):
+    """Positions given in file order while a corpus is stored; the rows of the table lie in the order of their ids."""
+    root = _stored(spark, sf, spark.read.parquet(f"{sf}/documents.parquet"), "cuad", "test")
+    return datasets.read_split(spark, root, "cuad", "test").select("doc_id", "idx")
+
+
+@query(
+    "corpus_catalogue",
+    """SELECT dataset_id, split FROM (VALUES ('docred', 'train_annotated'), ('docred', 'train_distant'), ('docred', 'dev'), ('docred', 'test'),
+  ('fever', 'train'), ('cuad', 'train'), ('cuad', 'test'), ('scifact', 'train'), ('scifact', 'validation'), ('scifact', 'test')) v(dataset_id, split)""",
+)
+def corpus_catalogue(spark, sf):
+    """The corpora with their splits: fixed ones, a stored one, usual names for the others."""
+    root = _stored(spark, sf, fever_rows(spark, sf)[0])
+    known = datasets.catalogue(spark).select("dataset_id")
+    found = [datasets.list_splits(spark, root, d).select(F.lit(d).alias("dataset_id"), "split") for d in ("docred", "fever", "cuad", "scifact")]
+    return known.join(reduce(DataFrame.unionByName, found), "dataset_id")

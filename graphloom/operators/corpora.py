@@ -263,10 +263,14 @@ def docred_preview(df: DataFrame) -> DataFrame:
 
 def sample_page(df: DataFrame, page: int = 1, page_size: int = 20, index: str = "index") -> DataFrame:
     """One page of samples as a range on the stored position, which the scan can prune."""
+    return df.where(F.col(index).between(*page_range(page, page_size)))
+
+
+def page_range(page: int, page_size: int) -> tuple[int, int]:
+    """First and last position of a page."""
     if page < 1 or not 1 <= page_size <= 100:
         raise ValueError("page starts at 1 and page_size lies between 1 and 100")
-    start = (page - 1) * page_size
-    return df.where(F.col(index).between(start, start + page_size - 1))
+    return (page - 1) * page_size, page * page_size - 1
 
 
 def sample_at(df: DataFrame, position: int, index: str = "index") -> DataFrame:

@@ -130,9 +130,26 @@ def free(*cuts: DataFrame) -> None:
         df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
+    """``path`` and the file system it lies in, as the session's objects."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = file_system(spark, path)
+    return files.exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    target, files = file_system(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(target)] if files.exists(target) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target, files = file_system(spark, path)
+    files.delete(target, True)
 
 
 def cut_all(*frames: DataFrame) -> list[DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from graphloom.operators.topology import ordinals
+from graphloom.session import children
 from graphloom.sources.arrays import read_array
 
 # The known corpora and the files of the local one.
@@ -105,8 +106,6 @@ def list_splits(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
     else:
         config = entry["hf_config"]
         folder = f"{root}/{dataset_id}/{config}" if config else f"{root}/{dataset_id}"
-        try:
-            return spark.read.parquet(folder).select("split").distinct()
-        except AnalysisException:
-            names = FALLBACK_SPLITS.get(dataset_id, COMMON_SPLITS)
+        stored = [n.partition("=")[2] for n in children(spark, folder) if n.startswith("split=")]
+        names = stored or FALLBACK_SPLITS.get(dataset_id, COMMON_SPLITS)
     return spark.createDataFrame([(n,) for n in names], "split string")

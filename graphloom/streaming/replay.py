@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import exists
 from graphloom.streaming import store
 from graphloom.streaming import telemetry as TM
 
@@ -70,4 +71,4 @@ def replay_sink(stored: DataFrame, live: DataFrame, path: str, checkpoint: str,
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """What the feed holds so far; ``(ts, seq)`` is its order."""
     read = lambda name: spark.read.schema(SCHEMA).parquet(f"{path}/{name}")
-    return read("history").unionByName(read("live")) if store.exists(spark, f"{path}/live") else read("history")
+    return read("history").unionByName(read("live")) if exists(spark, f"{path}/live") else read("history")

@@ -10,15 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _status(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target, fs = _status(spark, path)
-    return fs.exists(target)
+from graphloom.session import exists, file_system
 
 
 def complete(spark: SparkSession, path: str) -> bool:
@@ -28,7 +20,7 @@ def complete(spark: SparkSession, path: str) -> bool:
 
 def folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """``(kind, number)`` of the complete folders, ``batch`` or ``snapshot``, by number."""
-    target, fs = _status(spark, path)
+    target, fs = file_system(spark, path)
     if not fs.exists(target):
         return []
     found = []
@@ -79,5 +71,5 @@ def compact(spark: SparkSession, path: str, keys: list[str], upto: int) -> None:
         _last(_rows(spark, path, upto), keys).write.mode("overwrite").parquet(_name(path, "snapshot", upto))
     for kind, number in known:
         if number < before or (number == before and kind == "batch"):
-            target, fs = _status(spark, _name(path, kind, number))
+            target, fs = file_system(spark, _name(path, kind, number))
             fs.delete(target, True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import corpora
-from graphloom.sources import datasets, results
+from graphloom.sources import datasets, results, splits
 
 SAMPLE = {"title": "Test Title", "sents": [["This", "is", "sentence", "one", "."], ["Sentence", "two", "."]], "vertexSet": [], "labels": []}
 
@@ -108,3 +108,35 @@ def test_export_and_snapshot(spark, tmp_path):
         results.export(exp, str(tmp_path / "none"), "xml")
     folder = results.snapshot(exp, str(tmp_path / "snap"), "G_B", "20240101", "trace")
     assert spark.read.json(folder).count() == 1
+
+
+def test_stored_split_opens_the_files_of_a_page(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(1000).select(F.col("id").alias("idx"), F.concat(F.lit("q"), "id").alias("question")).repartition(7)
+    splits.store_split(rows, root, "cuad", "train", file_rows=100)
+    page = splits.read_page(spark, root, "cuad", "train", 18, 20)
+    assert sorted((r.idx, r.question) for r in page.collect()) == [(i, f"q{i}") for i in range(340, 360)]
+    assert len(page.inputFiles()) <= 2 < 10 <= len(datasets.read_split(spark, root, "cuad", "train").inputFiles())
+    assert splits.read_page(spark, root, "cuad", "train", 50, 20).count() == 20
+    beyond = splits.read_page(spark, root, "cuad", "train", 51, 20)
+    assert beyond.count() == 0 and beyond.columns == ["idx", "question"]
+    assert splits.stored(spark, root, "cuad") == ["train"]
+    assert [tuple(r) for r in splits.totals(spark, root, ["cuad", "fever"]).collect()] == [("cuad", "train", 1000, 50)]
+    with pytest.raises(RuntimeError):
+        splits.read_page(spark, root, "cuad", "test")
+    with pytest.raises(ValueError):
+        splits.read_page(spark, root, "cuad", "train", 0)
+
+
+def test_stored_split_of_nothing_and_of_gaps(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([(0, "a"), (1, None), (3, "c")], "idx bigint, question string")
+    splits.store_split(rows.where("false"), root, "cuad", "test")
+    empty = splits.read_page(spark, root, "cuad", "test")
+    assert empty.count() == 0 and empty.columns == ["idx", "question"]
+    for bad in (rows, rows.where("idx < 2").unionByName(rows.where("idx = 0")), rows.where("idx > 0"), rows.where("idx = 1"), spark.createDataFrame([(0, "a"), (0, "b"), (2, "c")], "idx bigint, question string"), rows.withColumn("idx", F.when(F.col("idx") < 2, F.col("idx")))):
+        with pytest.raises(ValueError):
+            splits.store_split(bad, root, "cuad", "train")
+        assert splits.read_page(spark, root, "cuad", "train").count() == 0
+    splits.store_split(rows.where("idx < 2"), root, "cuad", "train")
+    assert {tuple(r) for r in splits.read_page(spark, root, "cuad", "train").collect()} == {(0, "a"), (1, None)}
