@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -9,7 +11,9 @@ from catalog.tables import ORDER, RUNS, SUPPLY, order_graphs, run_data, runs, su
 from graphloom.functions import slots
 from graphloom.model import Graphs
 from graphloom.operators import analysis
+from graphloom.session import checkpoint_dir
 from graphloom.sources import graph_json as GJ
+from graphloom.sources import results
 
 
 def _goal_graph(spark, sf) -> Graphs:
@@ -356,3 +360,30 @@ def compare_stats(spark, sf):
     r = runs(spark, sf)
     named = r["stats"].replace({"click": "G_B", "view": "G_T", "signup": "G_F"}, subset=["stage"])
     return analysis.compare_stats(r["experiments"], analysis.stats_bucket(named), ["3", "5", "999999"])
+
+
+@query(
+    "publish_replace_delete",
+    f"""WITH {RUNS}, kept AS (SELECT * FROM experiments WHERE CAST(experiment_id AS BIGINT) % 5 <> 3),
+n AS (SELECT experiment_id, count(*) AS nodes FROM nodes GROUP BY experiment_id),
+t AS (SELECT experiment_id, count(*) AS steps FROM trace GROUP BY experiment_id)
+SELECT k.experiment_id, CASE WHEN k.status = 'running' THEN 'failed' ELSE k.status END AS status,
+  CASE WHEN k.status = 'running' THEN 0 ELSE coalesce(n.nodes, 0) END AS nodes, coalesce(t.steps, 0) AS steps
+FROM kept k LEFT JOIN n USING (experiment_id) LEFT JOIN t USING (experiment_id)""",
+)
+def publish_replace_delete(spark, sf):
+    """All experiments are published; running ones again as failed, without nodes; those of one strategy are deleted; what shows nothing is removed."""
+    store = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    r = runs(spark, sf)
+    first = results.publish(store, "all", r["experiments"], r["trace"], r["nodes"])
+    running = r["experiments"].where("status = 'running'")
+    again = running.withColumn("status", F.lit("failed"))
+    results.publish(store, "again", again, r["trace"].join(running, "experiment_id", "left_semi"), r["nodes"].where("false"), base=first)
+    results.publish(store, "spare", running, r["trace"].where("false"), r["nodes"].where("false"))
+    results.publish(store, "last", again, r["trace"].join(running, "experiment_id", "left_semi"), r["nodes"].where("false"))
+    results.delete(spark, store, "gone", r["experiments"].where("CAST(experiment_id AS BIGINT) % 5 = 3"))
+    results.vacuum(spark, store, 0.0)
+    seen = results.read_published(spark, store)
+    count = lambda name, out: seen[name].groupBy("experiment_id").agg(F.count(F.lit(1)).alias(out))
+    found = seen["experiments"].join(count("nodes", "nodes"), "experiment_id", "left").join(count("data", "steps"), "experiment_id", "left")
+    return found.select("experiment_id", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nodes", "steps")])

@@ -1,6 +1,7 @@
 """Readers, sinks and corpora."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,18 +85,67 @@ def test_publish_replace_delete(spark, tmp_path):
     path = str(tmp_path / "store")
     make = lambda ids, status: spark.createDataFrame([(i, "n", status) for i in ids], "experiment_id string, name string, status string")
     data = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "experiment_id string, value string")
-    results.publish(path, "r1", 1, make("ab", "success"), data("ab", "1"), data("aab", "1"))
-    results.publish(path, "r2", 2, make("b", "failed"), data("b", "2"), data("b", "2"))
+    assert 1 == results.publish(path, "r1", make("ab", "success"), data("ab", "1"), data("aab", "1"))
+    assert 2 == results.publish(path, "r2", make("b", "failed"), data("b", "2"), data("b", "2"))
     seen = results.read_published(spark, path)
     assert {(r.experiment_id, r.value) for r in seen["data"].collect()} == {("a", "1"), ("b", "2")}
     assert seen["nodes"].count() == 3
     # Rows without a commit stay invisible.
     data("c", "9").write.parquet(f"{path}/data/run_id=r3")
     assert results.read_published(spark, path)["data"].count() == 2
-    results.delete(spark, path, data("a", ""), 3)
+    assert results.delete(spark, path, "r4", data("a", "")) == 3
     assert {r.experiment_id for r in results.read_published(spark, path)["nodes"].collect()} == {"b"}
 
 
+def _result(spark, ids, value):
+    make = lambda names: spark.createDataFrame([(i, value, "success") for i in ids], f"experiment_id string, {names} string, status string")
+    return make("name"), make("value"), make("label")
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    """Each gets a version of its own; of two that are based on one version only the first may touch an experiment."""
+    path = str(tmp_path / "store")
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda i: results.publish(path, f"w{i}", *_result(spark, ["x", f"e{i}"], str(i))), range(6)))
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6]
+    seen = {r.experiment_id: r.value for r in results.read_published(spark, path)["data"].collect()}
+    assert seen == {"x": str(versions.index(6)), **{f"e{i}": str(i) for i in range(6)}}
+    base = results.current(spark, path)
+
+    def attempt(i):
+        try:
+            return results.publish(path, f"b{i}", *_result(spark, ["x", f"f{i}"], f"b{i}"), base=base)
+        except results.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        tried = list(pool.map(attempt, range(4)))
+    assert sorted(v for v in tried if v) == [7] and results.publish(path, "c", *_result(spark, ["new"], "c"), base=base) == 8
+    seen = {r.experiment_id: r.value for r in results.read_published(spark, path)["data"].collect()}
+    assert seen["x"] == f"b{tried.index(7)}" and set(seen) == {"x", "new", f"f{tried.index(7)}", *[f"e{i}" for i in range(6)]}
+
+
+def test_publishing_again_and_vacuum(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert all(t.isEmpty() for t in results.read_published(spark, path).values()) and results.vacuum(spark, path, 0) == []
+    shown = lambda: {(r.experiment_id, r.value) for r in results.read_published(spark, path)["data"].collect()}
+    assert results.publish(path, "r1", *_result(spark, "ab", "1")) == 1
+    assert results.publish(path, "r2", *_result(spark, "ab", "2")) == 2
+    assert results.publish(path, "r1", *_result(spark, "ab", "other")) == 1
+    assert results.delete(spark, path, "r3", _result(spark, "b", "")[0]) == 3
+    _result(spark, "c", "9")[1].write.parquet(f"{path}/data/run_id=lost")
+    assert results.vacuum(spark, path) == [] and shown() == {("a", "2")}
+    assert results.vacuum(spark, path, 0) == ["lost", "r1"] and shown() == {("a", "2")}
+    assert results.vacuum(spark, path, 0) == []
+    assert results.delete(spark, path, "r4", _result(spark, "a", "")[0]) == 4
+    assert results.vacuum(spark, path, 0) == ["r2"] and results.current(spark, path) == 4
+    assert all(t.isEmpty() for t in results.read_published(spark, path).values())
+    assert results.publish(path, "r5", *_result(spark, "b", "5")) == 5 and shown() == {("b", "5")}
+    for bad in ("", "a/b", "a=b", "_x"):
+        with pytest.raises(ValueError):
+            results.publish(path, bad, *_result(spark, "b", "5"))
+
+
 def test_export_and_snapshot(spark, tmp_path):
     exp = spark.createDataFrame([("1", "One", "success", "g")], "experiment_id string, name string, status string, goal string")
     results.export(exp, str(tmp_path / "csv"), "csv")
