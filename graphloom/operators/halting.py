@@ -124,12 +124,13 @@ def _rule_based(limits: Limits) -> tuple[Column, Column]:
 
 
 def score_nodes(
-    g: Graphs, mode: str = "rule_based", state: DataFrame | None = None, limits: Limits = Limits()
+    g: Graphs, mode: str = "rule_based", state: DataFrame | None = None, limits: Limits = Limits(), counts: DataFrame | None = None
 ) -> Graphs:
     """Write status, metrics and (rule-based) ``halt_reason`` on every node.
 
     ``mode`` is ``always_loop``, ``always_halt``, ``rule_based`` or a strategy name; any
-    other name leaves the graph unchanged.
+    other name leaves the graph unchanged. ``counts`` holds the degrees of touched nodes where a caller
+    keeps them (:func:`~graphloom.operators.topology.add_counts`); else they are counted from the edges.
     """
     mode = mode.lower()
     columns = g.nodes.columns
@@ -138,7 +139,7 @@ def score_nodes(
     if mode in STRATEGIES:
         chosen = STRATEGIES[mode]
         value = chosen.value()
-        nodes = with_degree(g.nodes, g.edges)
+        nodes = with_degree(g.nodes, g.edges, counts)
         status = F.when(value > chosen.hi, "HALT-ACCEPT").when(value < chosen.lo, "HALT-DROP").otherwise("LOOP")
         metrics = {"ablation_value": value, **chosen.metrics(value)}
         extra = {}
@@ -148,7 +149,7 @@ def score_nodes(
             per_graph = per_graph.withColumns({"depth": F.lit(0), "iteration": F.lit(0)})
         else:
             per_graph = per_graph.join(state.select("graph_id", "depth", "iteration"), "graph_id")
-        nodes = with_degree(g.nodes, g.edges).join(per_graph, "graph_id")
+        nodes = with_degree(g.nodes, g.edges, counts).join(per_graph, "graph_id")
         status, reason = _rule_based(limits)
         value = _degree()
         metrics = {
@@ -159,7 +160,7 @@ def score_nodes(
         }
         extra = {"state": slots.put("state", halt_reason=reason)}
     else:
-        nodes = with_degree(g.nodes, g.edges)
+        nodes = with_degree(g.nodes, g.edges, counts)
         status = F.lit("LOOP" if mode == "always_loop" else "HALT-ACCEPT")
         metrics, extra = {"ablation_value": _degree()}, {}
     updates = {"status": status, "metrics": slots.put("metrics", "double", **metrics), **extra}

@@ -26,8 +26,15 @@ def degrees(g: Graphs) -> DataFrame:
     return with_degree(g.nodes.select(*KEY), g.edges)
 
 
-def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(incident_counts(edges), KEY, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+def with_degree(nodes: DataFrame, edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``nodes`` with their degree: from ``edges``, or from ``counts`` of them that are kept elsewhere."""
+    counts = incident_counts(edges) if counts is None else counts
+    return nodes.join(counts, KEY, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def add_counts(counts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Counts of :func:`incident_counts` after ``edges`` have come in; the earlier ones are not read again."""
+    return counts.unionByName(incident_counts(edges)).groupBy(*KEY).agg(F.sum("degree").alias("degree"))
 
 
 def neighbor_pairs(g: Graphs, direction: str = "both") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import checkpoint_dir, cut
 from graphloom.model import Graphs
+from graphloom.operators import halting
 from graphloom.plans.linear import linear
 from graphloom.plans.loop import grow
 from graphloom.plans.run import RunConfig
@@ -59,7 +60,7 @@ def test_loop_freezes_graphs_that_halt(spark, tmp_path):
     data = run.data()
     assert {r.category for r in data.select("category").distinct().collect()} == {"graph", "trace", "metric", "metadata", "stats", "logs"}
     experiments = run.experiments(run.outcome.select("experiment_id"))
-    results.publish(str(tmp_path), "r1", 1, experiments, data, run.node_rows())
+    results.publish(str(tmp_path), "r1", experiments, data, run.node_rows())
     assert results.read_published(spark, str(tmp_path))["nodes"].count() == 70
 
 
@@ -137,3 +138,39 @@ def test_status(spark):
     rows = [("1", "running", 1.0, 0), ("1", "success", 2.0, 1), ("2", "failed", 1.0, 0), ("2", "running", 1.0, 1)]
     df = spark.createDataFrame(rows, "experiment_id string, status string, ts double, seq long")
     assert {(r.experiment_id, r.status, r.refresh) for r in TM.latest_status(df).collect()} == {("1", "success", True), ("2", "running", False)}
+
+
+def test_degrees_are_kept_over_rounds(spark, monkeypatch):
+    """Graphs that halt in different rounds: kept counts give what all edges give, and scoring reads no edges."""
+    nodes = [(g, f"{g}{i}", i, f"n{i}") for g in "abc" for i in range(3)]
+    edges = [(g, f"e{i}{k}", i, f"{g}{i}", f"{g}{(i + k) % 3}", "r") for g in "abc" for i in range(3) for k in (0, 1)]
+    start = Graphs.of(
+        spark.createDataFrame(nodes, "graph_id string, node_id string, ord long, label string"),
+        spark.createDataFrame(edges, "graph_id string, edge_id string, ord long, source string, target string, relation string"),
+    )
+
+    def expand(g, iteration):
+        fresh = g.graphs.select("graph_id", F.concat("graph_id", F.lit(f"x{iteration}")).alias("node_id"), F.lit(0).alias("ord"), F.lit("x").alias("label"))
+        new = fresh.select(
+            "graph_id", F.lit(f"i{iteration}").alias("edge_id"), F.lit(0).alias("ord"), F.col("node_id").alias("source"), F.concat("graph_id", F.lit("0")).alias("target"), F.lit("r").alias("relation")
+        )
+        return Graphs.of(fresh, new, g.graphs)
+
+    def decide(g, state):
+        stops = {"a": 2, "b": 3, "c": 9}
+        at = F.create_map(*[F.lit(x) for pair in stops.items() for x in pair])[F.col("graph_id")]
+        return state.select("graph_id", F.when(F.col("iteration") >= at, "HALT").otherwise("CONTINUE").alias("decision"), F.lit("").alias("reason"))
+
+    cfg = RunConfig(max_iterations=4, max_depth=4)
+    made = grow(start, expand, cfg, decide=decide)
+    sizes = {r.graph_id: r["count"] for r in made.final.edges.groupBy("graph_id").count().collect()}
+    assert sizes == {"a": 7, "b": 8, "c": 10} and made.final.edges.select("graph_id", "edge_id").distinct().count() == 25
+    seen = []
+    scored = halting.score_nodes
+    monkeypatch.setattr(halting, "score_nodes", lambda g, mode, state, limits, counts: (seen.append(counts), scored(g, mode, state, limits))[1])
+    plain = grow(start, expand, cfg, decide=decide)
+    rows = lambda run: sorted((r.graph_id, r.node_id, r.status, sorted(r.metrics.items())) for r in run.final.nodes.collect())
+    assert rows(made) == rows(plain)
+    # what the last round scored with is the sum of all rounds before it, of the graphs that went on
+    last = {(r.graph_id, r.node_id): r.degree for r in seen[-1].collect()}
+    assert last == {("c", "c0"): 6, ("c", "c1"): 3, ("c", "c2"): 3, **{("c", f"cx{i}"): 1 for i in (1, 2, 3)}}
