@@ -15,6 +15,7 @@ from graphloom.plans.linear import linear
 from graphloom.plans.loop import grow, run
 from graphloom.plans.run import RunConfig
 from graphloom.session import checkpoint_dir
+from graphloom.settings import problems
 from graphloom.sources.stars import star_graphs
 from graphloom.streaming import live, replay
 from graphloom.streaming import telemetry as TM
@@ -402,3 +403,21 @@ def stream_replay(spark, sf):
 
     _in_slices(spark, events.where(F.col("order") >= quarter), "order", f"{folder}/source", run)
     return replay.read_feed(spark, f"{folder}/feed")
+
+
+@query(
+    "settings_problems",
+    """WITH v AS (SELECT c_custkey, c_custkey % 6 - 1 AS depth, c_custkey % 4 AS kind, c_acctbal / 5000 AS t FROM customer)
+SELECT c_custkey, concat_ws('; ', CASE WHEN kind = 3 THEN 'align_sentences is no boolean' END, CASE WHEN kind = 1 THEN 'limits.extra is unknown' END,
+  CASE WHEN kind = 2 THEN 'limits.max_nodes is no integer' END, CASE WHEN depth < 0 THEN 'max_depth is out of range' END,
+  CASE WHEN t > 1 OR t < -1 THEN 'similarity_threshold is out of range' END) AS problems FROM v""",
+)
+def settings_problems(spark, sf):
+    """Stored settings held against what is declared."""
+    key, other = F.col("c_custkey"), F.col("c_custkey") % 4
+    text = F.concat(
+        F.lit('{"max_depth": '), key % 6 - 1, F.lit(', "similarity_threshold": '), F.col("c_acctbal").cast("double") / 5000,
+        F.lit(', "align_sentences": '), F.when(other == 3, '"yes"').otherwise("true"),
+        F.lit(', "limits": {'), F.when(other == 1, '"extra": 1').when(other == 2, '"max_nodes": 1.5').otherwise('"max_nodes": 9'), F.lit("}}"),
+    )
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(problems(text, RunConfig), "; ").alias("problems"))

@@ -8,6 +8,7 @@ from catalog import query
 from catalog.tables import DECODED, SENTENCES, decoded_text, relation_records, table
 from graphloom.functions import slots
 from graphloom.functions import text as T
+from graphloom.operators import table_functions
 from graphloom.operators import triples as TR
 from graphloom.operators.windows import WindowConfig, char_windows, sentence_windows
 
@@ -163,6 +164,20 @@ def merge_triples(spark, sf):
     return _merged(spark, sf)
 
 
+@query(
+    "lateral_triples",
+    f"WITH {DECODED} SELECT graph_id, window_idx, pos, head, relation, tail, CAST(1.0 AS DOUBLE) AS score, window_idx AS chunk_id, mentions FROM merged",
+)
+def lateral_triples(spark, sf):
+    """The same triples through the table function, called from SQL."""
+    name = table_functions.register(spark)
+    rows = spark.sql(
+        f"SELECT t.key AS graph_id, t.window_idx, t.window_idx AS chunk_id, t.pos, t.head, t.relation, t.tail, t.score FROM {{texts}} d, LATERAL {name}(d.graph_id, d.window_idx, d.text) t",
+        texts=decoded_text(spark, sf),
+    )
+    return TR.merge_triples(TR.valid_triples(rows), ["graph_id"])
+
+
 @query(
     "mention_chunks",
     f"WITH {DECODED} SELECT DISTINCT graph_id, lower(head) AS head, lower(relation) AS relation, lower(tail) AS tail, window_idx AS chunk_id FROM triples",

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from graphloom.functions import slots
 from graphloom.model import Graphs
 from graphloom.operators.topology import with_degree
+from graphloom.settings import param
 
 
 @dataclass(frozen=True)
 class Limits:
-    max_depth: int = 3
-    max_nodes: int = 50
-    max_iterations: int = 10
+    max_depth: int = param(3, "depth from which every node halts", 0)
+    max_nodes: int = param(50, "nodes from which a graph halts", 0)
+    max_iterations: int = param(10, "rounds from which a graph halts", 0)
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import checkpoint_dir, cut
+from graphloom import checkpoint_dir, cut, settings
 from graphloom.model import Graphs
 from graphloom.operators import halting
 from graphloom.plans.linear import linear
@@ -174,3 +174,28 @@ def test_degrees_are_kept_over_rounds(spark, monkeypatch):
     # what the last round scored with is the sum of all rounds before it, of the graphs that went on
     last = {(r.graph_id, r.node_id): r.degree for r in seen[-1].collect()}
     assert last == {("c", "c0"): 6, ("c", "c1"): 3, ("c", "c2"): 3, **{("c", f"cx{i}"): 1 for i in (1, 2, 3)}}
+
+
+def test_declared_settings(spark):
+    names = {s.name: s for s in settings.specs(RunConfig)}
+    assert names["limits.max_nodes"].default == 50 and names["windows.overlap"].low == 0 and all(s.text for s in names.values())
+    listed = {r.name: r for r in settings.table(spark, RunConfig).collect()}
+    assert set(listed) == set(names) and listed["similarity_threshold"].high == 1.0 and listed["mode"].kind == "string"
+    made = RunConfig.from_json('{"max_depth": 2, "limits": {"max_nodes": 7}, "similarity_threshold": 1}')
+    assert (made.max_depth, made.limits.max_nodes, made.limits.max_depth, made.similarity_threshold) == (2, 7, 3, 1)
+    texts = [
+        "{}", '{"max_depth": 2, "limits": {"max_nodes": 7}, "windows": {}}', '{"max_depth": -1, "nothing": 3, "mode": 5}', '{"max_depth": "2"}', '{"max_depth": 2.5}',
+        '{"max_depth": true, "align_sentences": 1, "score_first": false}', '{"similarity_threshold": 1}', '{"similarity_threshold": 1.5, "block": 0}', '{"limits": 3}',
+        '{"limits": {"max_nodes": -1, "x": {"y": 1}}, "windows": {"overlap": null}}', "[1]", '"text"', '{"max_iterations": 1e0}', '{"similarity_threshold": 1e-3}',
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "no json", None])], "i int, t string")
+    found = {r.i: r.p for r in rows.select("i", settings.problems("t", RunConfig).alias("p")).collect()}
+    for i, text in enumerate(texts):
+        try:
+            RunConfig.from_json(text)
+            wanted = []
+        except ValueError as error:
+            wanted = str(error).split("; ")
+        assert found[i] == wanted, text
+    assert found[len(texts)] == ["settings is no object"] and found[len(texts) + 1] == []
+    assert found[2] == ["max_depth is out of range", "mode is no string", "nothing is unknown"]

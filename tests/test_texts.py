@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators import table_functions
 from graphloom.operators import triples as TR
 from graphloom.operators.windows import WindowConfig, char_windows, sentence_windows
 
@@ -274,3 +275,22 @@ def test_records_path(spark):
     assert [(e.graph_id, e.source, e.target, e.relation) for e in g.edges.collect()] == [("a", "ent:1", "ent:2", "in 2 facts")]
     heads = {r.graph_id: r.meta for r in g.graphs.collect()}
     assert heads["b"]["reason"] == heads["c"]["reason"] == "empty_input" and heads["a"]["atomic_facts"] == "2"
+
+
+def test_table_function(spark):
+    """Odd texts as the column parser reads them, keys of any type, a model of the caller."""
+    texts = [
+        "<s><triplet> A b <subj> C <obj> r</s>", "", None, "no markers", "<triplet> A <subj> B <subj> C <obj> r <subj> D <obj> s", "<triplet> A <subj> B <obj> r </triplet> rest <subj> X <obj> y",
+        "<triplet><subj> B <obj> r", "<triplet> A <subj> <obj> r <triplet> A  x <subj> B\n <obj> r <obj> q", "<subj> B <obj> r", "<triplet> A <subj> B <obj> r<triplet> A <subj> B <obj> r",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    name = table_functions.register(spark)
+    made = spark.sql(f"SELECT t.* FROM {{rows}} r, LATERAL {name}(r.i, 0, r.text) t", rows=rows)
+    assert made.schema["key"].dataType.simpleString() == "bigint"
+    parsed = TR.parse_triples(rows)
+    plain = lambda df, key: sorted((r[key], r.pos, r["head"], r.relation, r["tail"], r.score) for r in df.collect())
+    assert plain(made, "key") == plain(parsed, "i") and len(plain(parsed, "i")) >= 6
+    own = table_functions.register(spark, lambda text: f"<triplet> {text} <subj> b <obj> c", "own_triples", 0.5)
+    assert [tuple(r) for r in spark.sql(f"SELECT * FROM {own}('k', 3, 'a')").collect()] == [("k", 3, 0, "a", "c", "b", 0.5)]
+    with pytest.raises(Exception, match="must be a string"):
+        spark.sql(f"SELECT * FROM {name}(1, 2, 3)").collect()
