@@ -387,3 +387,48 @@ def publish_replace_delete(spark, sf):
     count = lambda name, out: seen[name].groupBy("experiment_id").agg(F.count(F.lit(1)).alias(out))
     found = seen["experiments"].join(count("nodes", "nodes"), "experiment_id", "left").join(count("data", "steps"), "experiment_id", "left")
     return found.select("experiment_id", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nodes", "steps")])
+
+
+@query("exported_csv", f"WITH {RUNS} SELECT experiment_id AS id, name, status FROM experiments")
+def exported_csv(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    results.export(runs(spark, sf)["experiments"], folder, "csv")
+    return spark.read.option("header", True).csv(folder)
+
+
+@query("exported_json", f"WITH {RUNS} SELECT experiment_id, name, goal, halting_strategy, status FROM experiments")
+def exported_json(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    results.export(runs(spark, sf)["experiments"], folder)
+    return spark.read.schema("experiment_id string, name string, goal string, halting_strategy string, status string").json(folder)
+
+
+@query(
+    "stage_snapshots",
+    f"""WITH {SUPPLY} SELECT 'G_B' AS stage, '20240101' AS run_ts, graph_id, node_id, label FROM nodes
+UNION ALL SELECT 'G_F', '20240102', graph_id, node_id, upper(label) FROM nodes WHERE node_type = 'part'""",
+)
+def stage_snapshots(spark, sf):
+    """Two stages of one run kept side by side, and read back with their names and times."""
+    folder = f"{checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    nodes = supply_graph(spark, sf).nodes.select("graph_id", "node_id", "label", "node_type")
+    results.snapshot(nodes.drop("node_type"), folder, "G_B", "20240101", "trace")
+    results.snapshot(nodes.where("node_type = 'part'").drop("node_type").withColumn("label", F.upper("label")), folder, "G_F", "20240102", "trace")
+    fields = "graph_id string, node_id string, label string, stage string, run_ts string"
+    return spark.read.schema(fields).json(f"{folder}/trace").select("stage", "run_ts", "graph_id", "node_id", "label")
+
+
+@query(
+    "safe_values",
+    """SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS plain, '[' || o_orderkey || ',' || o_custkey || ']' AS listed,
+  '{"k":"' || o_orderstatus || '"}' AS nested, CASE WHEN o_custkey % 2 = 0 THEN '{"a":' || o_custkey || '}' END AS named FROM orders""",
+)
+def safe_values(spark, sf):
+    """Values of any kind as text that can be stored: containers as JSON, a missing one stays missing."""
+    from graphloom.functions.values import as_text
+
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderkey").alias("plain"), F.array("o_orderkey", "o_custkey").alias("listed"), F.create_map(F.lit("k"), "o_orderstatus").alias("nested"),
+        F.when(F.col("o_custkey") % 2 == 0, F.struct(F.col("o_custkey").alias("a"))).alias("named"),
+    )
+    return rows.select("o_orderkey", *[as_text(F.col(n), k).alias(n) for n, k in rows.dtypes[1:]])

@@ -82,21 +82,34 @@ def expansion_frontier(spark, sf):
     return expansion.expansion_frontier(halting.score_nodes(supply_graph(spark, sf), limits=WIDE))
 
 
-@query(
-    "graph_context",
-    f"""WITH {SUPPLY},
+CONTEXT = f"""{SUPPLY},
 n AS (SELECT graph_id, list(to_json({{'id': node_id, 'label': label, 'type': node_type, 'description': '',
        'ablation_value': 0.0::DOUBLE, 'expanded': false, 'expandable': true}}) ORDER BY ord) AS nodes FROM nodes GROUP BY ALL),
 e AS (SELECT graph_id, list(to_json({{'source': source, 'target': target, 'relation': relation}}) ORDER BY ord, source, target, relation) AS edges
       FROM edges GROUP BY ALL)
 SELECT coalesce(n.graph_id, e.graph_id) AS graph_id,
   '{{"goal":"","nodes":[' || coalesce(array_to_string(nodes, ','), '') || '],"edges":[' || coalesce(array_to_string(edges, ','), '') || ']}}' AS context
-FROM n FULL JOIN e ON n.graph_id = e.graph_id""",
-)
+FROM n FULL JOIN e ON n.graph_id = e.graph_id"""
+
+
+@query("graph_context", f"WITH {CONTEXT}")
 def graph_context(spark, sf):
     return expansion.graph_context(supply_graph(spark, sf))
 
 
+@query(
+    "graph_expansion_prompts",
+    f"""WITH {CONTEXT.replace("SELECT coalesce(n.graph_id", ", c AS (SELECT coalesce(n.graph_id", 1)})
+SELECT graph_id, E'This is the current graph as JSON:\\n' || context
+  || E'\\nChoose the one node most worth expanding (high ablation_value, not expanded, expandable) and design about 4 nodes below it, each linked to it by an edge.\\n'
+  || 'Answer with JSON only: {{"nodes": [{{"id", "label", "description", "type": system | concept | entity}}], "edges": [{{"source", "target", "relation"}}], "parent_node_id", "reason"}}' AS prompt
+FROM c""",
+)
+def graph_expansion_prompts(spark, sf):
+    """What a model is asked for the next nodes of each graph."""
+    return expansion.graph_context(supply_graph(spark, sf)).select("graph_id", expansion.expansion_prompt("context", 4).alias("prompt"))
+
+
 @query(
     "expansion_prompts",
     r"""SELECT CAST(doc_id AS VARCHAR) AS graph_id,
@@ -110,7 +123,15 @@ def expansion_prompts(spark, sf):
     return docs.select("graph_id", expansion.goal_prompt("text", 8).alias("prompt"))
 
 
-@query("expand_goals")
+@query(
+    "expand_goals",
+    r"""WITH p AS (SELECT CAST(item_id AS VARCHAR) AS graph_id, text || E'\nUse at most 10 nodes, give each a clear label and a description, and name the relations between them.\n'
+  || 'Answer with JSON only: {"nodes": [{"id", "label", "description", "type": system | concept | entity}], "edges": [{"source", "target", "relation"}]}' AS prompt FROM benchmark),
+w AS (SELECT graph_id, regexp_split_to_array(trim(prompt, E' \n\t\r'), '\s+') AS words FROM p),
+i AS (SELECT graph_id, unnest(words) AS label, generate_subscripts(words, 1) AS i FROM w),
+f AS (SELECT graph_id, label, min(i) AS i FROM i GROUP BY ALL)
+SELECT graph_id, 'n' || (row_number() OVER (PARTITION BY graph_id ORDER BY i) - 1) AS node_id, label FROM f""",
+)
 def expand_goals(spark, sf):
     """Goals through a stand-in generator that answers with the words of the goal."""
 

@@ -345,6 +345,22 @@ def embed_labels(spark, sf):
     return embed(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("label")))
 
 
+@query(
+    "embed_label_slots",
+    """WITH t AS (SELECT p_partkey, ' ' || lower(p_name) || ' ' AS text FROM part),
+g AS (SELECT p_partkey, unnest([substr(text, i, 3) for i in range(1, greatest(length(text) - 2, 1) + 1)]) AS gram FROM t),
+c AS (SELECT p_partkey, CAST(('0x' || substr(md5(gram), 1, 7)) AS BIGINT) % 128 AS slot, CAST(count(*) AS DOUBLE) AS n FROM g GROUP BY ALL)
+SELECT p_partkey, CAST(slot AS INTEGER) AS slot, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)) AS FLOAT) AS DOUBLE) AS value FROM c""",
+)
+def embed_label_slots(spark, sf):
+    """The n-gram embedding of every part name with a hash that SQL has too, one row per filled slot."""
+    from graphloom.functions.vectors import hashed_ngrams
+
+    number = lambda gram: F.conv(F.substring(F.md5(gram), 1, 7), 16, 10).cast("long")
+    slots_of = F.posexplode(hashed_ngrams("p_name", number=number)).alias("slot", "value")
+    return table(spark, sf, "part").select("p_partkey", slots_of).where("value > 0").withColumn("value", F.col("value").cast("double"))
+
+
 @query("stable_index", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")
 def stable_index(spark, sf):
     """File positions; the rows of the table lie in the order of their ids."""
