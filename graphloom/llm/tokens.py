@@ -57,18 +57,18 @@ def _codes() -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.ones(1, np.uint64)
+_FACTORS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = 1 << int(n - 1).bit_length()
+def _factors(n: int) -> np.ndarray:
+    """An odd factor per byte of a word. Powers of one base would not do: long words of two letters, one with
+    the letters of the other swapped (Thue-Morse words of 2,048 letters), then have equal hashes."""
+    global _FACTORS
+    if len(_FACTORS) < n:
         with np.errstate(over="ignore"):
-            factors = np.full(size, _BASE, np.uint64)
-            factors[0] = 1
-            _POWERS = np.cumprod(factors, dtype=np.uint64)
-    return _POWERS
+            at = np.arange(1, (1 << int(n - 1).bit_length()) + 1, dtype=np.uint64) * np.uint64(_BASE)
+        _FACTORS = mix(at) | np.uint64(1)
+    return _FACTORS
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ class Words:
         compact = np.cumsum(lengths) - lengths
         at = np.arange(int(lengths.sum())) - np.repeat(compact, lengths)
         with np.errstate(over="ignore"):
-            terms = _codes()[self.folded[inside]] * _powers(int(lengths.max()))[at]
+            terms = _codes()[self.folded[inside]] * _factors(int(lengths.max()))[at]
             self.hashes = mix(np.add.reduceat(terms, compact) + lengths.astype(np.uint64))
 
     @property

@@ -77,6 +77,40 @@ def test_equal_windows_have_equal_anchors(rows):
             assert by_print.setdefault(int(prints[at]), int(anchor[at])) == int(anchor[at])
 
 
+def test_anchors_do_not_depend_on_the_other_texts_of_a_slice():
+    for seed in (161, 1_161, *range(60)):
+        rng = random.Random(seed)
+        size = rng.choice([2, 3, 10, 1000])
+        passage = [f"w{rng.randrange(size)}" for _ in range(rng.randrange(50, 70))]
+        around = [[f"v{rng.randrange(size)}" for _ in range(rng.randrange(300))] for _ in range(2)]
+        anchors = []
+        for text in (passage, around[0] + passage + around[1]):
+            words = Words(pa.array([" ".join(text)]), "plain")
+            prints, found = window_hashes(words.hashes), {}
+            for name, start, count in zip(*recompression.spans(words), strict=True):
+                found |= {int(p): int(name) for p in prints[start : start + count]}
+            anchors.append(found)
+        assert anchors[0].items() <= anchors[1].items()
+
+
+def test_passage_in_a_short_text_and_in_a_long_one(spark):
+    rng = random.Random(161)
+    size = rng.choice([2, 3, 10, 1000])
+    passage = [f"w{rng.randrange(size)}" for _ in range(rng.randrange(50, 70))]
+    around = [[f"v{rng.randrange(size)}" for _ in range(rng.randrange(300))] for _ in range(2)]
+    rows = [(1, " ".join(passage)), (2, " ".join(around[0] + passage + around[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    same(recompression.digest(docs), brute.removed_words(rows))
+
+
+def test_long_words_of_two_letters_differ():
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    hashes = Words(pa.array([word, word.translate(str.maketrans("ab", "ba"))]), "plain").hashes
+    assert hashes[0] != hashes[1]
+
+
 def test_jaccard(docs, rows):
     expected = brute.components(rows)
     assert len({e[2] for e in expected}) < len({e[0] for e in expected})
