@@ -190,3 +190,24 @@ def test_stored_split_of_nothing_and_of_gaps(spark, tmp_path):
         assert splits.read_page(spark, root, "cuad", "train").count() == 0
     splits.store_split(rows.where("idx < 2"), root, "cuad", "train")
     assert {tuple(r) for r in splits.read_page(spark, root, "cuad", "train").collect()} == {(0, "a"), (1, None)}
+
+
+def test_parts_of_a_graph_are_put_together_by_counts_alone(spark):
+    from graphloom.model import Graphs
+    from graphloom.sources import graph_json as GJ
+
+    n = 2_500
+    nodes = spark.range(n).selectExpr("'g' AS graph_id", "concat('n', id) AS node_id", "id AS ord", "concat('n', id) AS label")
+    edges = spark.range(n).selectExpr("'g' AS graph_id", "concat('e', id) AS edge_id", "id AS ord", "'n0' AS source", "concat('n', id) AS target", "'r' AS relation")
+    back = GJ.read_graph_json(GJ.graph_json(Graphs.of(nodes, edges), part_size=1_100))
+    assert [r.target for r in back.edges.orderBy("ord").collect()] == [f"n{i}" for i in range(n)]
+    assert [r.ord for r in back.nodes.orderBy("ord").collect()] == list(range(n))
+
+    def windows(node):
+        children = [node.children().apply(i) for i in range(node.children().length())]
+        return ([node] if node.nodeName() == "Window" else []) + [w for c in children for w in windows(c)]
+
+    # no window holds documents
+    found = windows(back.edges._jdf.queryExecution().optimizedPlan())
+    names = [{w.output().apply(i).name() for i in range(w.output().length())} for w in found]
+    assert found and not any("g" in n for n in names)
