@@ -150,3 +150,20 @@ def test_run_takes_the_callers_parts(spark):
     assert done.data().where("category LIKE 'log%'").count() == 2
     assert {r.experiment_id for r in done.final_graph().collect()} == {"e1", "e2"}
     assert done.stages["loop_2_increment"].graphs.count() == 1
+
+
+def test_context_of_a_large_graph_is_put_together_from_pieces(spark, capsys):
+    n = 2500
+    nodes = spark.createDataFrame([("g", f"n{i:04}", i // 7) for i in reversed(range(n))], "graph_id string, node_id string, ord long").withColumn("label", F.concat(F.lit('"'), "node_id"))
+    edges = spark.createDataFrame([("g", f"e{i}", 0, f"n{i:04}", "n0000", "r") for i in range(n)], "graph_id string, edge_id string, ord long, source string, target string, relation string")
+    graphs = spark.createDataFrame([("g", {"goal": 'a "b"'}), ("empty", {})], "graph_id string, meta map<string,string>")
+    context = expansion.graph_context(Graphs.of(nodes, edges, graphs))
+    found = {r.graph_id: json.loads(r.context) for r in context.collect()}
+    assert found["empty"] == {"goal": "", "nodes": [], "edges": []}
+    assert found["g"]["goal"] == 'a "b"'
+    assert [x["id"] for x in found["g"]["nodes"]] == [f"n{i:04}" for i in range(n)]
+    assert [x["source"] for x in found["g"]["edges"]] == [f"n{i:04}" for i in range(n)]
+    # what meets in one task are texts of pieces, never the single nodes and edges of a graph
+    context.explain("formatted")
+    lists = [line for line in capsys.readouterr().out.splitlines() if line.startswith("Functions") and "collect_list" in line]
+    assert lists and all("entry" in line for line in lists)
