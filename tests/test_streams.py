@@ -160,3 +160,16 @@ def test_replay_without_stored_logs(spark, tmp_path):
     live_logs = spark.readStream.schema(replay.SCHEMA).parquet(str(tmp_path / "source"))
     replay.replay_sink(rows.where("false"), live_logs, str(tmp_path / "feed"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.seq for r in replay.read_feed(spark, str(tmp_path / "feed")).collect()) == [1, 2]
+
+
+def test_deliveries_come_in_pieces_however_many_follow():
+    ready = [(0, i, live.JOINS, f"c{i}") for i in range(300)] + [(1, 300, live.LEAVES, "c0")] + [(2 + i, 301 + i, live.EVENT, None) for i in range(1000)]
+    members, rows, largest = {}, 0, 0
+    seen = set()
+    for frame in live.in_pieces("e", ready, members, 902):
+        largest, rows = max(largest, len(frame)), rows + len(frame)
+        seen |= set(zip(frame["client_id"], frame["seq"]))
+    # clients lapse 902 after they joined, and the first has left
+    assert rows == len(seen) == 299 * 900 and len(members) == 299
+    assert seen == {(f"c{c}", 301 + i) for c in range(1, 300) for i in range(900)}
+    assert largest < live.PIECE + 300
