@@ -50,6 +50,21 @@ def test_running_stats_forget_what_is_silent(spark, tmp_path):
     assert any(kind == "snapshot" for kind, _ in store.folders(spark, path))
 
 
+def test_state_partitions_follow_the_cores(spark, tmp_path):
+    name = "spark.sql.shuffle.partitions"
+    before, most = spark.conf.get(name), 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(most + 5))
+    try:
+        rows = [envelope(1, "s", 10.0, 1, 7), envelope(2, "s", 20.0, 2, 8)]
+        path, ck = str(tmp_path / "table"), str(tmp_path / "ck")
+        progress = batches(spark, tmp_path, "value string", [rows], lambda df: TM.stats_sink(TM.parse_events(df), path, ck))
+        assert spark.conf.get(name) == str(most + 5)
+    finally:
+        spark.conf.set(name, before)
+    assert {op["numShufflePartitions"] for op in progress[-1]["stateOperators"]} == {most}
+    assert TM.read_table(spark, path, ["experiment_id", "stage"]).count() == 2
+
+
 def test_kept_table_is_folded_and_repeats_are_harmless(spark, tmp_path):
     path, want = f"{checkpoint_dir(spark)}/kept-{tmp_path.name}", {}
     for b in range(11):
