@@ -2,14 +2,15 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import checkpoint_dir, cut, settings
+from graphloom import checkpoint_dir, cut, settings, tune
 from graphloom.model import Graphs
 from graphloom.operators import halting
 from graphloom.plans.linear import linear
-from graphloom.plans.loop import grow
+from graphloom.plans.loop import grow, run
 from graphloom.plans.run import RunConfig
 from graphloom.sources import results
 from graphloom.streaming import telemetry as TM
@@ -199,3 +200,27 @@ def test_declared_settings(spark):
         assert found[i] == wanted, text
     assert found[len(texts)] == ["settings is no object"] and found[len(texts) + 1] == []
     assert found[2] == ["max_depth is out of range", "mode is no string", "nothing is unknown"]
+
+
+def test_vectors_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def vectors(labels: pd.Series) -> pd.Series:
+        made.add(len(labels))
+        return labels.map(lambda text: [float(len(text)), 1.0])
+
+    def embed(nodes):
+        return nodes.withColumn("embedding", F.pandas_udf(vectors, "array<float>")("label"))
+
+    inputs = spark.createDataFrame([("a", "goal", "one two three"), ("b", "goal", "four five six")], "experiment_id string, goal string, text string")
+    decode = lambda texts: texts.map(lambda t: f"<triplet> {t.split()[0]} <subj> {t.split()[-1]} <obj> has")
+    generate = lambda prompts: prompts.map(lambda p: '{"nodes":[{"id":"x","label":"topic"}],"edges":[]}')
+    result = run(inputs, decode, generate, embed, RunConfig(max_depth=0))
+    assert made.value == result.stages["G_B"].nodes.count() + result.stages["G_T"].nodes.count() == 6
+
+
+def test_files_count_for_more_than_their_size(spark):
+    """Two million ids fit 10 MB of files, but no broadcast of 10 MB."""
+    rows = cut(tune(spark).range(2_000_000).select(F.col("id").alias("k"), F.concat(F.lit("entity_"), F.col("id") % 50).alias("node_id")))
+    joined = rows.join(rows.select("k", F.col("node_id").alias("other")), "k")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
