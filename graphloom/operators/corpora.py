@@ -120,8 +120,9 @@ def _fever(df: DataFrame, pages: DataFrame | None) -> tuple[DataFrame, dict[str,
     if pages is None:
         rows = rows.withColumn("__page", F.lit(None).cast("string"))
     else:
-        side = pages.select(F.col("title").alias("__title"), F.col("text").alias("__page"))
-        rows = rows.join(side, "__title", "left")
+        # rows without a page would meet in one task: each gets a key that no trimmed title is like
+        side = pages.select(F.col("title").alias("__key"), F.col("text").alias("__page"))
+        rows = rows.withColumn("__key", F.coalesce(F.nullif("__title", F.lit("")), F.concat(F.lit(" "), F.col("idx").cast("string")))).join(side, "__key", "left")
     looked_up = F.nullif(given, F.lit("")).isNull() & F.col("__page").isNotNull()
     sentence = F.when(looked_up, pick_sentence("__page", _field(df, "evidence_sentence_id", "string")))
     keep = {"ignoreNullFields": "false"}
@@ -146,8 +147,10 @@ def _scifact(df: DataFrame, corpus: DataFrame | None, resolve_ids: bool) -> tupl
     if corpus is None:
         rows = rows.withColumns({"__title": F.lit(None).cast("string"), "__lines": F.lit(None).cast("array<string>")})
     else:
-        side = corpus.select(F.col("doc_id").alias("__doc"), F.col("title").alias("__title"), F.col("abstract").alias("__lines"))
-        rows = rows.join(side, "__doc", "left")
+        # rows that cite nothing are spread over keys below 1, which no row cites
+        side = corpus.where("doc_id > 0").select(F.col("doc_id").cast("long").alias("__key"), F.col("title").alias("__title"), F.col("abstract").alias("__lines"))
+        none = -F.pmod(F.xxhash64("idx"), F.lit(1 << 40))
+        rows = rows.withColumn("__key", F.coalesce(F.col("__doc").cast("long"), none)).join(side, "__key", "left")
     body = F.array_join("__lines", "\n")
     with_title = strip(F.concat(F.col("__title"), F.lit("\n\n"), F.coalesce(body, F.lit(""))))
     document = F.when(F.nullif("__title", F.lit("")).isNull(), body).otherwise(with_title)

@@ -211,3 +211,27 @@ def test_parts_of_a_graph_are_put_together_by_counts_alone(spark):
     found = windows(back.edges._jdf.queryExecution().optimizedPlan())
     names = [{w.output().apply(i).name() for i in range(w.output().length())} for w in found]
     assert found and not any("g" in n for n in names)
+
+
+@pytest.mark.parametrize("dataset_id", ["fever", "scifact"])
+def test_samples_without_a_page_are_spread(spark, dataset_id):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        claims = spark.range(4000).select(F.col("id").alias("idx"), F.lit("c").alias("claim"))
+        if dataset_id == "fever":
+            side = corpora.wiki_pages(spark.createDataFrame([("T", "One.")], "title string, text string"))
+            rows = claims.withColumn("evidence_wiki_url", F.when(F.col("idx") == 1, "T").when(F.col("idx") % 4 == 0, " "))
+        else:
+            side = spark.createDataFrame([(7, "T", ["One."]), (-3, "U", ["Two."])], "doc_id int, title string, abstract array<string>")
+            rows = claims.withColumn("evidence_doc_id", F.when(F.col("idx") == 1, 7).when(F.col("idx") % 2 == 0, -3))
+        out = corpora.normalize(rows, dataset_id, "train", side)
+        got = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("context").alias("count")).collect()
+        found = out.where("context <> 'c'").select("index").collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert sum(r["count"] for r in got) == 4000 and max(r["count"] for r in got) < 2000
+    assert [r["index"] for r in found] == [1]
