@@ -153,7 +153,7 @@ def valid_triples(spark, sf):
 
 
 def _merged(spark, sf):
-    return TR.merge_triples(TR.valid_triples(TR.parse_triples(decoded_text(spark, sf))), ["graph_id"])
+    return TR.merge_triples(TR.valid_triples(TR.parse_triples(decoded_text(spark, sf))), ["graph_id"], squeezed=True)
 
 
 @query(
@@ -175,7 +175,7 @@ def lateral_triples(spark, sf):
         f"SELECT t.key AS graph_id, t.window_idx, t.window_idx AS chunk_id, t.pos, t.head, t.relation, t.tail, t.score FROM {{texts}} d, LATERAL {name}(d.graph_id, d.window_idx, d.text) t",
         texts=decoded_text(spark, sf),
     )
-    return TR.merge_triples(TR.valid_triples(rows), ["graph_id"])
+    return TR.merge_triples(TR.valid_triples(rows), ["graph_id"], squeezed=True)
 
 
 @query(
@@ -183,7 +183,7 @@ def lateral_triples(spark, sf):
     f"WITH {DECODED} SELECT DISTINCT graph_id, lower(head) AS head, lower(relation) AS relation, lower(tail) AS tail, window_idx AS chunk_id FROM triples",
 )
 def mention_chunks(spark, sf):
-    return TR.mention_chunks(TR.parse_triples(decoded_text(spark, sf)), ["graph_id"])
+    return TR.mention_chunks(TR.parse_triples(decoded_text(spark, sf)), ["graph_id"], squeezed=True)
 
 
 @query("entity_ids", f"WITH {DECODED} SELECT graph_id, label, 'entity_' || k AS node_id, k AS ord FROM entities")

@@ -294,3 +294,25 @@ def test_table_function(spark):
     assert [tuple(r) for r in spark.sql(f"SELECT * FROM {own}('k', 3, 'a')").collect()] == [("k", 3, 0, "a", "c", "b", 0.5)]
     with pytest.raises(Exception, match="must be a string"):
         spark.sql(f"SELECT * FROM {name}(1, 2, 3)").collect()
+
+
+def test_numbering_shuffles_rows_once(spark):
+    """Rows are numbered by the column that their offsets are joined by; before, they were dealt once for each."""
+    from graphloom.operators.topology import ordinals
+
+    df = spark.range(100).select(F.lit("k").alias("k"), F.col("id").alias("at"))
+    plan = ordinals(df, ["k"], F.floor(F.col("at") / 50), [F.floor(F.col("at") / 10)], [F.col("at")], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(__place" in plan
+
+
+def test_triples_beyond_one_batch(spark):
+    many = TR.PARSED + 5
+    df = spark.createDataFrame([("a", 0, "<triplet> h <subj> t <obj> r" * many), ("b", 1, None), ("c", 2, "<triplet> x <subj> y <obj> z")], "g string, window_idx int, text string")
+    got = TR.parse_triples(df).groupBy("g", "window_idx").agg(F.count("*").alias("n"), F.max("pos").alias("last")).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [("a", 0, many, many - 1), ("c", 2, 1, 0)]
+
+
+def test_squeezed_triples_merge_alike(spark):
+    rows = [("d", i % 3, i, "A b", "r", "C" if i % 2 else "c", 0.1 * i, i % 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id string, window_idx int, pos int, head string, relation string, tail string, score double, chunk_id int")
+    assert TR.merge_triples(df, squeezed=True).collect() == TR.merge_triples(df).collect()
