@@ -4,8 +4,8 @@ One model is of byte n-grams (order ``ORDER``) that run over the borders of word
 behind each and a begin mark before the first. The other is of the order of words: n-grams of the distances at
 which words come back (``copies``), so that it costs to repeat words more than trusted texts do. Counts,
 continuation counts, discounts, context sums and interpolated probabilities are joins and aggregates on
-(order, n-gram) keys, sharded by key. The models are fitted on at most ``TRUSTED`` of three quarters of the trusted documents
-(by hash of the id), so the tables that tasks hold for scoring are bounded by that parameter; each distinct
+(order, n-gram) keys, sharded by key. The models are fitted on all documents of three quarters of the trusted ones (by hash of
+the id). Tasks hold the n-grams that are distinct in them, which grow far slower than the texts; each distinct
 word of a slice is scored once for each of the bytes that stand before it.
 
 A document is measured on several scales (``SCALES``): its least likely word, its least likely windows of several
@@ -39,11 +39,14 @@ from graphloom.llm.tokens import Words, column_of, slices
 from graphloom.session import cut
 
 ORDER = 5
-TRUSTED = 10_000
 QUANTILE = 0.995
 FEW, TAIL = 100, 3.0
 PRIOR = 300.0
 BACK = 8
+#: bytes of text that are scored at a time, and distinct bytes whose n-grams are looked up at a time
+SCORED, LOOKED_UP = 1 << 20, 1 << 17
+#: bits that tell most other documents from trusted ones
+MARKS = 1 << 24
 #: windows of so many words, by the model of bytes; windows of so many words, by the model of their order
 BYTES, COPIES = (1, 8, 32), (16, 64)
 SCALES = [*(f"bytes{k}" for k in BYTES), *(f"copies{k}" for k in COPIES), "whole"]
@@ -155,6 +158,10 @@ class Grams:
         # the last row is that of n-grams that are not here
         self.logp, self.weight = np.append(logp[order], np.nan), np.append(weight[order], 0.0)
 
+    def __getitem__(self, i: int) -> np.ndarray:
+        """The n-grams, their log probabilities and their weights."""
+        return (self.gram, self.logp[:-1], self.weight[:-1])[i]
+
     def _bucket(self, gram: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -204,7 +211,13 @@ class Scorer:
 
         The longest n-gram is looked for first; only where it is unknown, its context's weight is paid and the next shorter one looked for.
         """
-        at = np.flatnonzero(words.predicted())
+        logp, every = np.zeros(len(words.data)), np.flatnonzero(words.predicted())
+        for s in range(0, len(every), LOOKED_UP):
+            at = every[s : s + LOOKED_UP]
+            logp[at] = self._at(words, at)
+        return logp
+
+    def _at(self, words: DistinctWords, at: np.ndarray) -> np.ndarray:
         place = words.place[at]
         depth = np.minimum(place + 1, self.order)
         value = np.zeros(len(at), np.int64)
@@ -225,9 +238,7 @@ class Scorer:
             else:
                 total[missed] += self.unseen
             unknown = np.concatenate([shallow, missed])
-        logp = np.zeros(len(words.data))
-        logp[at] = total
-        return logp
+        return total
 
 
 def worst(logp: np.ndarray, size: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -245,16 +256,25 @@ def worst(logp: np.ndarray, size: np.ndarray, first: np.ndarray, window: int) ->
 
 
 def divided(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Three quarters of the trusted documents, from which a sample is fitted, and the others."""
+    """Three quarters of the trusted documents, on which the models are fitted, and the others."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))
     return trusted.where(part > 0), trusted.where(part == 0)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED, order: int = ORDER) -> tuple[Scorer, Scorer]:
-    """The models of bytes and of copies, from at most ``most`` of the trusted documents."""
-    sample = docs.select("doc_id").join(trusted, "doc_id", "left_semi").distinct()
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.join(F.broadcast(sample), "doc_id", "left_semi")  # at most `most` ids
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id may be among ``ids``, by a bit per hash, so that a join that follows does not shuffle the texts of all others."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(MARKS)) + 1
+    marks = ids.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_at"))
+    marks = marks.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_marks"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "_bucket")  # MARKS bits at most
+    return marked.where(F.bit_get(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def fit(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> tuple[Scorer, Scorer]:
+    """The models of bytes and of copies, from all of the trusted documents."""
+    texts = cut(_likely(docs, trusted).join(trusted, "doc_id", "left_semi").select("text"))
     across, again = (Scorer(kneser_ney(cut(gram_counts(texts, order, of)), order).toArrow(), order, of) for of in ("across", "copies"))
     return across, again
 
@@ -264,7 +284,7 @@ def perplexities(docs: DataFrame, held: Broadcast) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         across, again = held.value
-        for batch in slices(batches):
+        for batch in slices(batches, size=SCORED):
             text = column_of(batch, "text")
             words, logp, size = across.words(text)
             own = np.add.reduceat(logp, words.start[:-1]) if len(logp) else logp
@@ -286,12 +306,12 @@ def perplexities(docs: DataFrame, held: Broadcast) -> DataFrame:
     return rows.mapInArrow(score, f"doc_id long, h long, lang string, logp double, n double, {', '.join(f'{c} double' for c in SCALES[:-1])}")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, tail: float = TAIL, prior: float = PRIOR, most: int = TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, tail: float = TAIL, prior: float = PRIOR) -> DataFrame:
     """``(doc_id, h, lang, perplexity, threshold, accepted)`` of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     trusted = cut(trusted_ids(labels))
     fitted, others = divided(trusted)
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, fitted, most))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, fitted))
     scored = cut(perplexities(docs, held))
     held.destroy()
     good = scored.where("n > 0").join(trusted, "doc_id", "left_semi")

@@ -383,3 +383,11 @@ def test_every_position_is_learned_from():
     for rounds in (pseudo.ROUNDS, 3):
         every = np.concatenate([pseudo.positions(words, number, rounds) for number in range(rounds)])
         assert sorted(every.tolist()) == list(range(4_005))
+
+
+def test_models_are_fitted_on_every_trusted_document(spark):
+    """Before, at most 10,000 of them counted."""
+    docs = spark.range(10_400).select(F.col("id").alias("doc_id"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij").alias("text"))
+    across, _ = quality.fit(docs, docs.select("doc_id"))
+    wanted = quality.gram_counts(docs, of="across").groupBy("n").count()
+    assert {r.n: r["count"] for r in wanted.collect()}[5] == len(across.levels[4][0])
