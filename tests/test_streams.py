@@ -65,6 +65,36 @@ def test_state_partitions_follow_the_cores(spark, tmp_path):
     assert TM.read_table(spark, path, ["experiment_id", "stage"]).count() == 2
 
 
+def test_running_stats_keep_stages_in_shares(spark, tmp_path):
+    """One row of state and one call per share, not per stage; what is silent is forgotten stage by stage."""
+    path, ck = str(tmp_path / "table"), str(tmp_path / "ck")
+    early = [envelope(i, f"s{j}", 100.0 + i, 10 * i + j, i) for i in range(20) for j in range(3)]
+    late = [envelope(i, f"s{j}", 5000.0 + i, 1000 + 10 * i + j, 7) for i in range(0, 20, 4) for j in range(3)]
+    # older than what is known, but not late
+    late += [envelope(0, "s0", 4999.0, 2000, 1)]
+
+    def run(rows):
+        once = TM.bounded(TM.parse_events(rows), "100 seconds", ["experiment_id", "type", "seq"])
+        return TM.table_sink(live.running_stats(TM.stage_events(once), 600.0, shares=4), path, ck, ["experiment_id", "stage"], "append")
+
+    progress = batches(spark, tmp_path, "value string", [early, late], run)
+    state = [op["numRowsTotal"] for op in progress[-1]["stateOperators"] if op["operatorName"] == "applyInPandasWithState"]
+    assert 0 < state[0] <= 4
+    want = {(f"e{i}", f"s{j}"): (5000.0 + i, 1000 + 10 * i + j) for i in range(0, 20, 4) for j in range(3)}
+    assert {(r.experiment_id, r.stage): (r.ts, r.seq) for r in live.held_stages(spark, ck).collect()} == want
+    made = {(r.experiment_id, r.stage): (r.ts, r.seq, r.node_count, r.depth, r.source) for r in TM.read_table(spark, path, ["experiment_id", "stage"]).collect()}
+    first = {(f"e{i}", f"s{j}"): (100.0 + i, 10 * i + j, i, None, None) for i in range(20) for j in range(3)}
+    assert made == first | {k: (*v, 7, None, None) for k, v in want.items()}
+
+
+def test_envelopes_are_parsed_once(spark):
+    text = F.concat(F.lit('{"experimentId":"e'), F.col("id").cast("string"), F.lit('","type":"LOG","timestamp":1.5,"payload":{"a":1},"seq":3}'))
+    rows = TM.parse_events(spark.range(2).select(text.alias("value")).unionByName(spark.createDataFrame([(None,), ("{",), ('{"type":"LOG"}',)], "value string")))
+    assert sorted(map(tuple, rows.collect())) == [(f"e{i}", "LOG", 1.5, '{"a":1}', 3) for i in range(2)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("from_json(") <= 2  # one for each side of the union
+
+
 def test_kept_table_is_folded_and_repeats_are_harmless(spark, tmp_path):
     path, want = f"{checkpoint_dir(spark)}/kept-{tmp_path.name}", {}
     for b in range(11):
