@@ -177,6 +177,29 @@ def test_subscriptions_come_and_go(spark, tmp_path, shares):
     assert made == plain_delivery(requests, events, lapse, mark)
 
 
+def test_clients_are_kept_in_shares(spark, tmp_path):
+    """One row of state per share of clients; each client is forgotten by its own last request."""
+    path, ck = str(tmp_path / "changes"), str(tmp_path / "ck")
+    parts = [
+        [(f"c{i}", "x", i, 100 + i) for i in range(30)] + [(None, "x", 90, 100)],
+        # c0 moves, c1 ends, an older request of c2 is ignored; the others lapse before they ask again
+        [("c0", "y", 101, 700), ("c1", None, 102, 700), ("c2", "y", 104, 701), ("c2", "z", 103, 701), ("c29", "x", 105, 5000)],
+        [("c5", "y", 106, 5000)],
+    ]
+
+    def run(rows):
+        asked = live.on_event_time(rows.withColumn("at", F.timestamp_seconds("t")), "10 seconds", F.col("at"))
+        return TM.append_sink(live.subscription_changes(asked, 1000.0, shares=2), path, ck)
+
+    progress = batches(spark, tmp_path, "client_id string, experiment_id string, seq long, t long", parts, run)
+    assert [op["numRowsTotal"] for op in progress[0]["stateOperators"]] == [2]
+    made = {(r.experiment_id, r.client_id, r.joined, r.seq, int(r.at.timestamp())) for r in spark.read.schema(live.CHANGE).parquet(path).collect()}
+    want = {("x", c, True, seq, t) for c, _, seq, t in parts[0]}
+    want |= {("x", "c0", False, 101, 700), ("y", "c0", True, 101, 700), ("x", "c1", False, 102, 700), ("x", "c2", False, 103, 701), ("z", "c2", True, 103, 701)}
+    want |= {("z", "c2", False, 104, 701), ("y", "c2", True, 104, 701), ("x", "c29", True, 105, 5000), ("y", "c5", True, 106, 5000)}
+    assert made == want
+
+
 def test_replay_hands_over_without_loss_or_repeat(spark, tmp_path):
     """Out of order within the delay, logs that only one source holds, repeats of the live source, a restart with other stored logs."""
     rng = random.Random(7)
