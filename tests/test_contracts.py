@@ -167,3 +167,25 @@ def test_context_of_a_large_graph_is_put_together_from_pieces(spark, capsys):
     context.explain("formatted")
     lists = [line for line in capsys.readouterr().out.splitlines() if line.startswith("Functions") and "collect_list" in line]
     assert lists and all("entry" in line for line in lists)
+
+
+def test_prompts_hold_the_context_of_their_graph(spark):
+    """Elements of one graph over several pieces and partitions, in order; a graph of its own without elements; ids that are null."""
+    nodes = [("g", f"n{i}", i % 700, f"label {i}") for i in range(2500)] + [("h", "x", 0, 'with "quotes"'), (None, "y", 0, "lost")]
+    edges = [("g", f"e{i}", i, f"n{i}", f"n{i + 1}", "next") for i in range(2100)]
+    nodes = spark.createDataFrame(nodes, "graph_id string, node_id string, ord long, label string").repartition(7)
+    edges = spark.createDataFrame(edges, "graph_id string, edge_id string, ord long, source string, target string, relation string").repartition(5)
+    g = Graphs.of(nodes, edges, spark.createDataFrame([("g",), ("h",), ("alone",)], "graph_id string"))
+    texts = expansion.graph_context(g)
+    context = {r.graph_id: r.context for r in texts.collect()}
+    assert set(context) == {"g", "h", "alone"} and json.loads(context["alone"]) == {"goal": "", "nodes": [], "edges": []}
+    read = json.loads(context["g"])
+    assert [n["id"] for n in read["nodes"]] == [f"n{i}" for i in sorted(range(2500), key=lambda i: (i % 700, f"n{i}"))]
+    assert [e["source"] for e in read["edges"]] == [f"n{i}" for i in range(2100)]
+    assert json.loads(context["h"])["nodes"][0]["label"] == 'with "quotes"'
+    # elements are shuffled as they are, and their JSON is made behind that
+    lines = expansion.graph_context(g)._jdf.queryExecution().executedPlan().toString().splitlines()
+    sent = [below for line, below in zip(lines, lines[1:]) if "rangepartitioning(graph_id" in line]
+    assert len(sent) == 2 and not any("ToJson" in line for line in sent)
+    prompts = {r.graph_id: r.prompt for r in expansion.graph_prompts(g, 3).collect()}
+    assert prompts == {r.graph_id: r.prompt for r in texts.select("graph_id", expansion.expansion_prompt("context", 3).alias("prompt")).collect()}
